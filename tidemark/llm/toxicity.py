@@ -252,5 +252,19 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return out.withColumnRenamed("id", id_col)
 
 
+def filter_toxic(docs: DataFrame, model: Model, at: float, text_col: str = "text") -> DataFrame:
+    """docs without the rows that score `at` or more; columns and row order within partitions as they were."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep: list[bool] = []
+        for s in slices(b.column(where)):
+            nw = s.n_words().tolist()
+            keep += [score_of(evidence(segs, nw[d], model)[0], model) < at for d, segs in enumerate(document_segments(s, model))]
+        return b.filter(pa.array(keep, pa.bool_()))
+
+    where = docs.columns.index(text_col)
+    return map_arrow(docs, run, docs.schema)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, folds: int = 3, held: int = 1, **kw) -> Model:
     return fit(labelled_sample(docs, labels, "toxic", folds, held, bound), **kw)
