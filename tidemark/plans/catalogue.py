@@ -1,4 +1,386 @@
-"""Named queries over the driver's tables, and their SQL oracles."""
+"""Named queries over the driver's tables, and their SQL oracles.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES maps a name to a function of (spark, sf_dir); ORACLES to DuckDB SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.paths import IgnoreRules, child_path, is_under
+from ..functions.scalars import WATCHED, humanize_bytes, is_removal
+from ..operators import diff as D
+from ..operators import dirmap as M
+from ..operators import fold, gate, telemetry
+from ..runtime import table
+from ..streaming.sinks import event_line
+from .inputs import CURR, NODES, PREV, RECORDS, URLS, duck, rel
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = duck(sql)
+        return f
+
+    return add
+
+
+EVENT_COLS = ("type", "path", "size", "mtime", "prev_size", "prev_mtime")
+DIFF_SQL = f"""with prev as ({PREV}), curr as ({CURR}),
+j as (select p.path as pp, c.path as cp, p.size as ps, c.size as cs, p.mtime as pm, c.mtime as cm, p.attrs as pa, c.attrs as ca
+      from prev p full outer join curr c on upper(p.path) = upper(c.path)),
+d as (select case when pp is null then 'added' when cp is null then 'removed' when ps <> cs or pm <> cm or pa <> ca then 'modified' end as type,
+      coalesce(cp, pp) as path, cs as size, cm as mtime, ps as prev_size, pm as prev_mtime, pa, ca from j)
+select type, path, size, mtime, prev_size, prev_mtime from d where type is not null"""
+
+
+def _diff(spark: SparkSession, sf: str) -> DataFrame:
+    return D.diff(rel(spark, sf, PREV), rel(spark, sf, CURR))
+
+
+@query(DIFF_SQL)
+def snapshot_diff(spark, sf):
+    return _diff(spark, sf).select(*EVENT_COLS)
+
+
+@query(DIFF_SQL + " and type = 'added'")
+def diff_added(spark, sf):
+    return _diff(spark, sf).where("type = 'added'").select(*EVENT_COLS)
+
+
+@query(DIFF_SQL + " and type = 'removed'")
+def diff_removed(spark, sf):
+    return _diff(spark, sf).where("type = 'removed'").select(*EVENT_COLS)
+
+
+@query(DIFF_SQL + " and type = 'modified'")
+def diff_modified(spark, sf):
+    return _diff(spark, sf).where("type = 'modified'").select(*EVENT_COLS)
+
+
+@query(DIFF_SQL + " and type = 'modified' and size = prev_size and mtime = prev_mtime")
+def diff_attrs_only(spark, sf):
+    return _diff(spark, sf).where("type = 'modified' and size = prev_size and mtime = prev_mtime").select(*EVENT_COLS)
+
+
+@query(f"with curr as ({CURR}) select path from curr where path <> upper(path) and false union all select upper(path) from curr where false")
+def diff_case_insensitive(spark, sf):
+    """A snapshot against its own upper-cased copy has no events."""
+    curr = rel(spark, sf, CURR)
+    return D.diff(curr, curr.withColumn("path", F.upper("path"))).select("path")
+
+
+SEQ = "size * 1000 + attrs * 2 + case when path = upper(path) then 1 else 0 end as seq"
+LAST = f"with e as (select root, path, size, mtime, attrs, {SEQ} from (({PREV}) union all ({CURR})) x)"
+
+
+@query(
+    LAST
+    + """, r as (select *, row_number() over (partition by upper(path) order by seq desc) as l from e), f as (select upper(path) as k, arg_min(path, seq) as path from e group by 1)
+select f.path, r.size, r.mtime, r.attrs from r join f on upper(r.path) = f.k where l = 1"""
+)
+def snapshot_last_wins(spark, sf):
+    both = rel(spark, sf, PREV).unionByName(rel(spark, sf, CURR))
+    e = both.selectExpr("*", SEQ)
+    return D.from_entries(e).select("path", "size", "mtime", "attrs")
+
+
+FAILED = "select distinct 'r' as root, o_orderstatus || chr(92) || '1' as dir from orders"
+KEPT_SQL = f"""with prev as ({PREV}), curr as ({CURR}), failed as ({FAILED}),
+kept as (select * from prev p where exists (select 1 from failed f where length(p.path) > length(f.dir) + 1 and starts_with(upper(p.path), upper(f.dir) || chr(92)))
+ and not exists (select 1 from curr c where upper(c.path) = upper(p.path)))"""
+
+
+@query(KEPT_SQL + " select path, size, mtime, attrs from kept")
+def preserve_failed_subtrees(spark, sf):
+    return D.preserve_failed(rel(spark, sf, PREV), rel(spark, sf, CURR), rel(spark, sf, FAILED)).select("path", "size", "mtime", "attrs")
+
+
+@query(
+    KEPT_SQL
+    + """, whole as (select * from curr union all select * from kept), j as (select case when p.path is null then 'added' when c.path is null then 'removed'
+ when p.size <> c.size or p.mtime <> c.mtime or p.attrs <> c.attrs then 'modified' end as type from prev p full outer join whole c on upper(p.path) = upper(c.path))
+select type, count(*) as n from j where type is not null group by type"""
+)
+def diff_after_preserve(spark, sf):
+    prev = rel(spark, sf, PREV)
+    events, _ = D.poll(prev, rel(spark, sf, CURR), rel(spark, sf, FAILED), prev.select("root").distinct())
+    return telemetry.events_by_type(events)
+
+
+@query(f"with curr as ({CURR}) select root, 'baseline' as type, count(*) as files from curr group by root")
+def baseline_event(spark, sf):
+    return D.baseline(rel(spark, sf, CURR)).select("root", "type", "files")
+
+
+RULES = IgnoreRules.of(["m.", " blog.", ""], ["1", "2"])
+SEGS = f"with u as ({URLS}), s as (select page_id, path, string_split(path, chr(92)) as p from u), t as (select page_id, path, p[len(p)] as last, p[1:len(p)-1] as dirs from s)"
+IN_DIRS = "len(list_filter(dirs, lambda x: starts_with(upper(x), 'M.') or starts_with(upper(x), 'BLOG.'))) > 0"
+LAST_FILE = "(starts_with(upper(last), '1') or starts_with(upper(last), '2'))"
+LAST_DIR = "(starts_with(upper(last), 'M.') or starts_with(upper(last), 'BLOG.'))"
+
+
+@query(SEGS + f" select page_id, path, ({IN_DIRS} or {LAST_FILE}) as ignored from t")
+def ignore_path_filter(spark, sf):
+    return rel(spark, sf, URLS).withColumn("ignored", RULES.path(F.col("path")))
+
+
+@query(SEGS + f" select page_id, path from t where {IN_DIRS} or {LAST_DIR}")
+def ignore_dir_only(spark, sf):
+    rules = IgnoreRules.of(["m.", "blog."], [])
+    return rel(spark, sf, URLS).where(rules.path(F.col("path"), True))
+
+
+@query(SEGS + f" select page_id, path from t where {LAST_FILE}")
+def ignore_file_only(spark, sf):
+    return rel(spark, sf, URLS).where(IgnoreRules.of([], ["1", "2"]).path(F.col("path")))
+
+
+@query(SEGS + f" select page_id, path from t where not ({IN_DIRS} or {LAST_FILE})")
+def purge_ignored(spark, sf):
+    return D.purge_ignored(rel(spark, sf, URLS), RULES)
+
+
+PATHS_SQL = f"""with recursive nodes as ({NODES}), w as (select frn, name as path from nodes where parent_frn is null
+ union all select n.frn, w.path || chr(92) || n.name from nodes n join w on n.parent_frn = w.frn)"""
+
+
+def _paths(spark, sf):
+    return M.closure(rel(spark, sf, NODES))
+
+
+@query(PATHS_SQL + " select frn, path from w")
+def resolve_paths_recursive(spark, sf):
+    return _paths(spark, sf)
+
+
+@query(f"with nodes as ({NODES}) select c.frn, p.name || chr(92) || c.name as path from nodes c join nodes p on c.parent_frn = p.frn")
+def resolve_parent_lookup(spark, sf):
+    nodes = rel(spark, sf, NODES)
+    return M.resolve_parents(nodes, nodes.select("frn", F.col("name").alias("path"))).select("frn", "path")
+
+
+@query(PATHS_SQL + " select frn, path from w where length(path) > 5 and starts_with(upper(path), 'ASIA' || chr(92))")
+def is_under_subtree(spark, sf):
+    return _paths(spark, sf).where(is_under(F.col("path"), F.lit("asia")))
+
+
+@query(PATHS_SQL + " select frn, path from w where upper(path) = 'ASIA' or starts_with(upper(path), 'ASIA' || chr(92))")
+def collect_subtree(spark, sf):
+    return M.collect_subtree(_paths(spark, sf), "Asia")
+
+
+@query(PATHS_SQL + " select frn, case when upper(path) = 'ASIA' or starts_with(upper(path), 'ASIA' || chr(92)) then 'far-east' || substr(path, 5) else path end as path from w")
+def remap_subtree(spark, sf):
+    return M.remap_subtree(_paths(spark, sf), "ASIA", "far-east")
+
+
+@query(PATHS_SQL + " select frn, path from w where not (upper(path) = 'ASIA' or starts_with(upper(path), 'ASIA' || chr(92)))")
+def remove_subtree(spark, sf):
+    return M.remove_subtree(_paths(spark, sf), "ASIA")
+
+
+@query(PATHS_SQL + " select frn, path from w where upper(path) like '%' || chr(92) || 'I%' or upper(path) like 'I%'")
+def collect_ignored(spark, sf):
+    return M.collect_ignored(_paths(spark, sf), IgnoreRules.of(["i"], []))
+
+
+@query(f"with r as ({RECORDS}) select usn, reason from r where reason & {WATCHED} <> 0")
+def reason_mask_filter(spark, sf):
+    from ..sources.journal import watched
+
+    return watched(rel(spark, sf, RECORDS)).select("usn", "reason")
+
+
+@query(f"with r as ({RECORDS}) select usn, (reason & 512 <> 0 or (reason & 4096 <> 0 and reason & 8192 = 0)) as removal from r")
+def removal_predicate(spark, sf):
+    return rel(spark, sf, RECORDS).select("usn", is_removal(F.col("reason")).alias("removal"))
+
+
+FOLD_SQL = f"""with r as ({RECORDS}), o as (select *, case when reason & 512 <> 0 then null else size end as post from r),
+l as (select *, lag(post) over (partition by upper(path) order by usn) as pre from o)"""
+
+
+@query(
+    FOLD_SQL
+    + """ select usn, path, case when post is null then 'removed' when pre is null then 'added' else 'modified' end as type, post as size, pre as prev_size
+ from l where post is distinct from pre"""
+)
+def journal_fold_events(spark, sf):
+    r = rel(spark, sf, RECORDS)
+    none = r.where("false").select("root", "path", "size", "mtime", "attrs")
+    return fold.events(fold.to_ops(r), none).select("usn", "path", "type", "size", "prev_size")
+
+
+@query(FOLD_SQL + ", z as (select *, row_number() over (partition by upper(path) order by usn desc) as k from l) select path, post as size, attrs from z where k = 1 and post is not null")
+def journal_fold_snapshot(spark, sf):
+    r = rel(spark, sf, RECORDS)
+    none = r.where("false").select("root", "path", "size", "mtime", "attrs")
+    return fold.new_state(fold.to_ops(r), none).select("path", "size", "attrs")
+
+
+CHANGES = "select 'f' || cast(user_id % 20 as varchar(20)) as frn, 'd' || cast(event_id as varchar(20)) as path, event_id as usn from events where event_id % 50 = 0"
+ASOF = "select event_id as usn, 'f' || cast(user_id % 20 as varchar(20)) as parent_frn, event_type as name from events"
+
+
+@query(
+    f"""with c as ({CHANGES}), v as (select *, lead(usn) over (partition by frn order by usn) as nxt from c), r as ({ASOF})
+select r.usn, v.path || chr(92) || r.name as path from r join v on r.parent_frn = v.frn and r.usn >= v.usn and (v.nxt is null or r.usn < v.nxt)"""
+)
+def temporal_dir_resolution(spark, sf):
+    return M.resolve_as_of(rel(spark, sf, ASOF), M.versions(rel(spark, sf, CHANGES))).select("usn", "path")
+
+
+GATE_IN = """select c_custkey, cast(c_nationkey as bigint) as cj, c_custkey as cn, cast(case when c_custkey % 17 = 0 then 4 else 0 end as bigint) as pending, c_custkey % 19 <> 0 as have,
+ cast(n_nationkey - case when n_nationkey % 9 = 0 then 1 else 0 end as bigint) as j, cast(n_nationkey * 10 as bigint) as f, cast(n_nationkey * 15 as bigint) as l, cast(500 + n_nationkey * 20 as bigint) as nx
+ from customer join nation on c_nationkey = n_nationkey"""
+GATE_SQL = f"""with g as ({GATE_IN}), t as (select c_custkey, case when not have then 1 when pending <> 0 then pending when cj <> j then 2 when cn < f then 3 when cn < l or cn > nx then 4 else 0 end as trigger from g)"""
+
+
+def _gate(spark, sf):
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    c.createOrReplaceTempView("_tm_customer")
+    n.createOrReplaceTempView("_tm_nation")
+    g = spark.sql(GATE_IN.replace(" from customer join nation", " from _tm_customer join _tm_nation"))
+    x = F.col
+    return g.select("c_custkey", gate.gate(x("cn"), x("cj"), x("pending"), x("have"), x("j"), x("f"), x("l"), x("nx")).cast("long").alias("trigger"))
+
+
+@query(GATE_SQL + " select c_custkey, cast(trigger as bigint) as trigger from t")
+def gate_check(spark, sf):
+    return _gate(spark, sf)
+
+
+@query(GATE_SQL + " select cast(trigger as bigint) as trigger, count(*) as n from t group by 1")
+def gate_summary(spark, sf):
+    return _gate(spark, sf).groupBy("trigger").agg(F.count("*").alias("n"))
+
+
+TICKS = """select cast(user_id % 5 as varchar(20)) as root, event_id as seq, case event_type when 'signup' then 'baseline' when 'purchase' then 'poll' when 'error' then 'resync' else 'drain' end as kind,
+ user_id % 7 as records, case when event_id % 4 = 0 then user_id % 3 else 0 end as events, event_id * 600 as at_s, cast(round(value * 100) as bigint) as counter from events"""
+
+
+@query(f"with t as ({TICKS}) select root, count(*) as n, cast(sum(records) as bigint) as records, cast(sum(records) * 100 - 8 * count(*) as bigint) as payload, cast(sum(events) as bigint) as events from t group by root")
+def drain_totals(spark, sf):
+    t = rel(spark, sf, TICKS).groupBy("root").agg(F.count("*").alias("n"), F.sum("records").alias("records"), F.sum("events").alias("events"))
+    return t.select("root", "n", "records", (F.col("records") * 100 - 8 * F.col("n")).alias("payload"), "events")
+
+
+@query(
+    f"""with t as ({TICKS}) select count(*) filter (kind = 'drain') as drains, count(*) filter (kind = 'poll') as polls, count(*) filter (kind = 'baseline') as baselines,
+ count(*) filter (kind = 'resync') as resyncs, cast(sum(records) as bigint) as records, cast(sum(events) as bigint) as events from t"""
+)
+def summary_rollup(spark, sf):
+    return telemetry.totals(rel(spark, sf, TICKS))
+
+
+@query(f"with t as ({TICKS}) select root, seq, greatest(coalesce(counter - lag(counter) over (partition by root order by seq), 0), 0) as d_counter from t")
+def counter_delta(spark, sf):
+    return telemetry.counter_delta(rel(spark, sf, TICKS).select("root", "seq", "counter"), "root", "seq", ["counter"]).select("root", "seq", "d_counter")
+
+
+@query(
+    f"""with recursive t as ({TICKS}), x as (select root, seq, at_s, kind <> 'drain' or events > 0 as sure, row_number() over (partition by root order by seq) as i from t),
+w as (select root, seq, i, at_s as last, true as keep from x where i = 1
+ union all select x.root, x.seq, x.i, case when x.sure or x.at_s - w.last >= 3600 then x.at_s else w.last end, x.sure or x.at_s - w.last >= 3600 from w join x on x.root = w.root and x.i = w.i + 1)
+select root, seq from w where keep"""
+)
+def heartbeat_filter(spark, sf):
+    return telemetry.heartbeat(rel(spark, sf, TICKS), "summary").select("root", "seq")
+
+
+@query(f"with t as ({TICKS}) select root, (max(seq) - min(seq)) * 86400.0 / (max(at_s) - min(at_s)) as bytes_per_day, 33554432 * 24.0 / ((max(seq) - min(seq)) * 86400.0 / (max(at_s) - min(at_s))) as ring_hours from t group by root")
+def churn_rate(spark, sf):
+    s = rel(spark, sf, TICKS).select("root", "at_s", F.col("seq").cast("double").alias("next_usn"))
+    return telemetry.churn(s, F.lit(33554432))
+
+
+@query(
+    f"""with t as ({TICKS}), x as (select root, seq, case kind when 'resync' then 4 when 'baseline' then 1 else 0 end as g from t)
+select root, seq, cast(coalesce(first_value(nullif(g, 0) ignore nulls) over (partition by root order by seq rows unbounded preceding), 0) as int) as pending from x"""
+)
+def first_cause(spark, sf):
+    t = rel(spark, sf, TICKS).select("root", "seq", F.when(F.col("kind") == "resync", 4).when(F.col("kind") == "baseline", 1).otherwise(0).alias("trigger"))
+    return gate.first_cause(t).select("root", "seq", "pending")
+
+
+LOG = "select ts, 'u' || cast(user_id as varchar(20)) as path, event_type, cast(round(value * 100) as bigint) as size from events"
+LOG_TYPE = "case event_type when 'signup' then 'added' when 'error' then 'removed' when 'purchase' then 'baseline' else 'modified' end"
+
+
+def _log(spark, sf):
+    e = rel(spark, sf, LOG).withColumn("type", F.expr(LOG_TYPE)).withColumn("ts", F.col("ts").cast("timestamp"))
+    zero = F.lit(0).cast("long")
+    return e.select("ts", F.lit("r").alias("root"), "type", "path", "size", zero.alias("mtime"), F.col("size").alias("prev_size"), zero.alias("prev_mtime"), F.col("size").alias("files"))
+
+
+@query(
+    f"""with l as (select *, {LOG_TYPE} as type from ({LOG}) x) select 'r' as root, strftime(ts, '%Y-%m') as month, '{{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0Z","root":"r","type":"' || type || '"'
+ || case when type <> 'baseline' then ',"path":"' || path || '"' else '' end
+ || case when type in ('added', 'modified') then ',"size":' || size || ',"mtime":"1970-01-01T00:00:00.0000000Z"' else '' end
+ || case when type in ('removed', 'modified') then ',"prevSize":' || size || ',"prevMtime":"1970-01-01T00:00:00.0000000Z"' else '' end
+ || case when type = 'baseline' then ',"files":' || size else '' end || '}}' as value from l"""
+)
+def change_log_json(spark, sf):
+    return event_line(_log(spark, sf))
+
+
+@query(f"select strftime(ts, '%Y-%m') as month, count(*) as n from ({LOG}) x group by 1")
+def month_partition_counts(spark, sf):
+    return event_line(_log(spark, sf)).groupBy("month").agg(F.count("*").alias("n"))
+
+
+@query(f"select {LOG_TYPE} as type, count(*) as n from ({LOG}) x group by 1")
+def events_by_type(spark, sf):
+    return telemetry.events_by_type(_log(spark, sf))
+
+
+@query(f"with t as ({TICKS}) select root, count(*) filter (kind = 'resync') as resyncs, count(*) filter (kind = 'baseline') as baselines from t group by root")
+def resync_trigger_counts(spark, sf):
+    return telemetry.totals(rel(spark, sf, TICKS), "root").select("root", "resyncs", "baselines")
+
+
+@query(
+    """with s as (select o_orderkey, cast(o_orderkey * o_orderkey as bigint) as n from orders) select o_orderkey, case when n < 1024 then n || ' B' else
+ regexp_replace(printf(case when n < 1073741824 then '%.1f' else '%.2f' end, round(n / case when n < 1048576 then 1024.0 when n < 1073741824 then 1048576.0 else 1073741824.0 end, case when n < 1073741824 then 1 else 2 end)), '\\.?0+$', '')
+ || case when n < 1048576 then ' KB' when n < 1073741824 then ' MB' else ' GB' end end as text from s"""
+)
+def humanize_sizes(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey")).alias("n"))
+    return o.select("o_orderkey", humanize_bytes(F.col("n")).alias("text"))
+
+
+@query(f"with r as ({RECORDS}) select usn, path as name, reason from r")
+def usn_decode_v2(spark, sf):
+    return _decoded(spark, sf, 2)
+
+
+@query(f"with r as ({RECORDS}) select usn, path as name, reason from r")
+def usn_decode_v3(spark, sf):
+    return _decoded(spark, sf, 3)
+
+
+def _decoded(spark, sf, major: int):
+    """Records packed into binary buffers by a table function, then decoded."""
+    import pyarrow as pa
+
+    from ..sources.journal import decode, encode_record
+
+    def pack(batches):
+        for b in batches:
+            rows = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+            yield pa.record_batch([pa.array([b"".join(encode_record(major, usn + 1, 1, usn, reason, 32, path) for usn, path, reason in rows)], pa.binary())], ["buffer"])
+
+    buffers = rel(spark, sf, RECORDS).select("usn", "path", "reason").mapInArrow(pack, "buffer binary")
+    return decode(buffers).select("usn", "name", "reason")
+
+
+__all__ = ["QUERIES", "ORACLES", "child_path"]
