@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from .core import materialize, release
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node has at most one edge out, and none that leads on."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -38,17 +42,11 @@ def components(links: DataFrame) -> DataFrame:
     shuffled; every round is stored, so a lost executor repeats one round at most. Self-links and
     null ends are ignored; repeated links do no harm; no links give no rows.
     """
-    edges = materialize(links.where("u <> v").select("u", "v").distinct(), "edges")
-    state = _state(edges)
-    while True:
-        wide = materialize(_large(edges), "edges")
-        release(edges)
-        edges = materialize(_small(wide), "edges")
-        release(wide)
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
+    down = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = materialize(down, "edges")
+    while not _is_forest(edges):
+        edges, old = materialize(_small(_large(edges)), "edges"), edges
+        release(old)
     # every remaining edge leads to a root; roots themselves are their components
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -9,11 +9,13 @@ the numbers of equal, larger and smaller registers and the two set sizes give
 the similarity of greatest likelihood; pairs far below the threshold end there,
 all others are confirmed on their full sets with integer arithmetic.
 
-Equal sets are one node. In a band of many sets, pairs are not expanded: the
-sets of a band have fixed ranks, and in rounds of growing size low ranks are
-compared with those higher ranks that are not yet in the same component. A
-band is done once its remaining sets are in one component, so a group of n near
-copies costs about n comparisons and no link between components is lost.
+Equal sets are one node. Pairs of a band are not expanded: first the band's
+most central set (it shares most bands) is compared with the others, which
+joins a group of n near copies by about n comparisons. Only bands whose sets
+then are in several components go on: their sets are dealt into chunks of about
+CHUNK, and chunks are compared with chunks by their registers in blocks inside
+a task. A row leaves it only for two sets of different components whose sizes
+and registers allow the threshold, so no link between components is lost.
 
 Misses: a pair at exactly the threshold of 0.8 shares no band with probability
 (1 - 0.8**ROWS)**BANDS = 3e-6, and falls below the estimate's margin of five
@@ -30,11 +32,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import Slice, map_arrow, materialize, mix, release, slices, windows
+from .core import Slice, map_arrow, materialize, mix, slices, windows
 
 SHINGLE = 5
 #: Similarity threshold in hundredths, so that it is compared exactly.
@@ -44,8 +45,8 @@ M = BANDS * ROWS
 #: SetSketch parameters: base, rate, and the largest register value less one.
 B, A, Q = 1.001, 20.0, 65534
 MARGIN = 0.16
-#: Comparisons per band and round: ranks below the first number, then below the second, ...
-FIRST_ROUND, GROWTH = 1, 8
+#: Sets in a chunk, about. A block of two chunks is compared in about a megabyte.
+CHUNK = 256
 
 _rng = np.random.default_rng(90210)
 _MUL = _rng.integers(0, 1 << 63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,6 +146,45 @@ def band_keys(sets: DataFrame) -> DataFrame:
     return map_arrow(sets.select("node", "regs"), run, f"band long, node {kind}")
 
 
+def _blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs (a, b) between components. open_: (band, node, m, c), m members of the band, c the node's component."""
+    kind = sets.schema["node"].dataType.simpleString()
+    deal = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("m") / CHUNK)).cast("int")
+    chunks = (
+        open_.join(sets.select("node", "n", "regs"), "node")
+        .groupBy("band", "m", deal.alias("i"))
+        .agg(F.collect_list("node").alias("nodes"), F.collect_list("c").alias("cs"), F.collect_list("n").alias("ns"), F.collect_list("regs").alias("regs"))
+    )
+    cols = ["nodes", "cs", "ns", "regs"]
+    left = chunks.select("band", F.explode(F.sequence("i", F.ceil(F.col("m") / CHUNK).cast("int") - 1)).alias("j"), "i", *(F.col(c).alias("l_" + c) for c in cols))
+    right = chunks.select("band", F.col("i").alias("j"), *(F.col(c).alias("r_" + c) for c in cols))
+
+    def run(b: pa.RecordBatch):
+        for k in range(b.num_rows):
+            a1, c1, n1, r1, a2, c2, n2, r2 = (b.column(i)[k].values for i in range(8))
+            who = pa.concat_arrays([c1, c2]).dictionary_encode().indices.to_numpy()
+            c1, c2 = who[: len(c1)], who[len(c1) :]
+            n1, n2 = n1.to_numpy(zero_copy_only=False).astype(float), n2.to_numpy(zero_copy_only=False).astype(float)
+            may = (c1[:, None] != c2[None]) & (100 * np.minimum(n1[:, None], n2[None]) >= percent * np.maximum(n1[:, None], n2[None]))
+            if not may.any():
+                continue
+            x, y = (np.frombuffer(b"".join(r.to_pylist()), np.uint16).reshape(-1, M) for r in (r1, r2))
+            same = np.zeros(may.shape, np.int16)
+            for r in range(M):
+                same += x[:, r, None] == y[None, :, r]
+            p, q = np.nonzero(may & (same >= (percent / 100 - 2 * MARGIN) * M))
+            for lo in range(0, len(p), 4096):
+                u, v = p[lo : lo + 4096], q[lo : lo + 4096]
+                s, t = x[u], y[v]
+                j = likeliest((s == t).sum(axis=1), (s > t).sum(axis=1), (s < t).sum(axis=1), n1[u], n2[v])
+                ok = j >= percent / 100 - MARGIN
+                yield pa.record_batch([a1.take(pa.array(u[ok])), a2.take(pa.array(v[ok]))], ["a", "b"])
+
+    rows = left.join(right, ["band", "j"]).select(*("l_" + c for c in cols), *("r_" + c for c in cols))
+    pairs = map_arrow(rows, run, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose set sizes allow the threshold and whose likeliest similarity is not far below it."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
@@ -192,9 +232,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     )
     bands = band_keys(sets)
     groups = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("m")).where("low < high")
-    member = materialize(bands.join(groups.select("band", "low", "m"), "band"), "members")
+    shared = materialize(bands.join(groups.select("band", "m"), "band"), "shared")
     # full sets of every node that shares a band with another; a doc_id with several rows has several
-    some = member.select("node").distinct()
+    some = shared.select("node").distinct()
 
     def full(b: pa.RecordBatch):
         for s in slices(b.column(1)):
@@ -206,35 +246,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     shingles = materialize(map_arrow(texts, full, f"node {kind}, shingles binary"), "shingles")
 
     copies = known.join(sets.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    links = None
-    # round 1: the lowest node of each band against the others
-    pairs = member.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    # the most central set of each band against the others
+    degree = shared.groupBy("node").agg(F.sum("m").alias("degree"))
+    pivots = shared.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
+    met = shared.join(pivots, "band")
+    pairs = met.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     links = materialize(_confirm(_plausible(pairs, sets, percent), shingles, percent).unionByName(copies), "links")
-    ranked, lo, size = None, FIRST_ROUND, GROWTH
-    while True:
-        comp = components(links)
-        named = (ranked if ranked is not None else member.where("m > 2").select("band", "node")).join(
-            comp.select("node", F.col("component").alias("c")), "node", "left"
-        ).withColumn("c", F.coalesce("c", "node"))
-        if ranked is None:
-            # fixed ranks, only in bands that are not of one component already
-            open_ = named.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band")
-            named = named.join(open_, "band").withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("node")) - 1)
-            ranked = materialize(named.select("band", "node", "rank"), "ranked")
-            named = ranked.join(comp.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        rest = named.where(F.col("rank") >= lo)
-        open_ = rest.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band")
-        rest = materialize(rest.join(open_, "band"), "rest")
-        if rest.isEmpty():
-            break
-        first = rest.where(F.col("rank") < lo + size).select("band", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("rank").alias("ka"))
-        second = rest.select("band", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("rank").alias("kb"))
-        pairs = first.join(second, "band").where("ka < kb and ca <> cb").select("a", "b").distinct()
-        more = _confirm(_plausible(pairs, sets, percent), shingles, percent)
-        links, old = materialize(links.unionByName(more), "links"), links
-        release(old)
-        release(rest)
-        lo, size = lo + size, size * GROWTH
+    # bands that still have sets of several components, beyond the two of a band of two
+    roots = components(links).select("node", F.col("component").alias("c"))
+    named = shared.where("m > 2").join(roots, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    several = named.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band")
+    open_ = materialize(named.join(several, "band").select("band", "node", "m", "c"), "open")
+    if open_.isEmpty():
+        comp = roots.select("node", F.col("c").alias("component"))
+    else:
+        more = _confirm(_blocks(open_, sets, percent), shingles, percent)
+        comp = components(more.unionByName(roots.where("node <> c").select(F.col("node").alias("u"), F.col("c").alias("v"))))
     nodes = comp.select(F.col("node").alias("id"), F.col("component"))
     out = feats.select("id", F.col("n").alias("n_shingles")).join(nodes, "id", "left")
     linked = F.coalesce("component", "id")
