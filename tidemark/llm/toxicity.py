@@ -31,7 +31,7 @@ from .core import Slice, labelled_sample, map_arrow, slices
 #: Rows of the labelled sample that a model is fitted on, at most.
 SAMPLE_ROWS = 8000
 #: Dirichlet prior of a token: this much for any token, and this share of its count in both classes.
-PRIOR_FLAT, PRIOR_SHARE = 0.25, 0.02
+PRIOR_FLAT, PRIOR_SHARE = 1.0, 0.02
 TABLE_BITS = 20
 #: Byte lengths of the stems that count as tokens beside the word itself.
 STEMS = (5, 6, 7, 8)
@@ -152,7 +152,7 @@ def evidence(segs: list[tuple[int, int, float]], n: int, m: Model) -> tuple[floa
     return total, count
 
 
-def fit(rows: list[tuple[str, int]], z_least: float = 3.5, cost: float = 0.03, p_segment: float = 0.1) -> Model:
+def fit(rows: list[tuple[str, int]], z_least: float = 3.0, cost: float = 0.03, p_segment: float = 0.1) -> Model:
     """Fit on (text, label) rows. Without rows of both labels nothing is toxic."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), cost, 1.0, 1.0, 1.0, -5.0, p_segment)
     y = np.array([r[1] for r in rows], np.int64)
