@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .core import Slice, labelled_sample, map_arrow, slices
 
 #: Rows of the labelled sample that a model is fitted on, at most.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 5000
 #: Dirichlet prior of a token: this much for any token, and this share of its count in both classes.
 PRIOR_FLAT, PRIOR_SHARE = 1.0, 0.02
 TABLE_BITS = 20
@@ -158,22 +158,25 @@ def fit(rows: list[tuple[str, int]], z_least: float = 3.0, cost: float = 0.03, p
     y = np.array([r[1] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         return none
-    counts, docs_h = [], []
-    for s in slices(pa.array([r[0] for r in rows], pa.string())):
-        toks, d = tokens(s), s.doc_of_word().astype(np.uint64) + np.uint64(s.lo)
-        docs_h.append((s, toks))
-        for h in toks:
+    parts, cut = [], list(slices(pa.array([r[0] for r in rows], pa.string())))
+    for s in cut:
+        # only sums per slice are kept, so memory follows the vocabulary and not the text
+        doc = np.repeat(np.arange(s.n, dtype=np.uint64), s.n_words())
+        hs = []
+        for h in tokens(s):
             # once per document: a repeated word is no further evidence about the word
-            pair = np.stack([d, h])[:, h != 0]
-            order = np.lexsort(pair)
-            pair = pair[:, order]
-            new = np.ones(pair.shape[1], bool)
-            new[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
-            counts.append(pair[:, new])
-    doc, h = np.concatenate(counts, axis=1)
-    toks, inv = np.unique(h, return_inverse=True)
-    tox = np.bincount(inv[y[doc.astype(np.int64)] == 1], minlength=len(toks)).astype(float)
-    all_ = np.bincount(inv, minlength=len(toks)).astype(float)
+            order = np.lexsort((h, doc))
+            d, g = doc[order], h[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+            new &= g != 0
+            hs.append((g[new], y[s.lo + d[new].astype(np.int64)]))
+        u, inv = np.unique(np.concatenate([g for g, _ in hs]), return_inverse=True)
+        parts.append((u, np.bincount(inv, weights=np.concatenate([z for _, z in hs]), minlength=len(u)), np.bincount(inv, minlength=len(u))))
+    toks, inv = np.unique(np.concatenate([u for u, _, _ in parts]), return_inverse=True)
+    tox = np.bincount(inv, weights=np.concatenate([t for _, t, _ in parts]), minlength=len(toks))
+    all_ = np.bincount(inv, weights=np.concatenate([n for _, _, n in parts]), minlength=len(toks))
+    del parts, inv
     clean = all_ - tox
     prior = PRIOR_FLAT + PRIOR_SHARE * all_
     a, b = tox + prior, clean + prior
@@ -187,7 +190,8 @@ def fit(rows: list[tuple[str, int]], z_least: float = 3.0, cost: float = 0.03, p
     best, length, segs_of = [], [], []
     levels = np.unique(m.weights)
     freq, total = np.zeros(len(levels)), 0
-    for s, own in docs_h:
+    for s in cut:
+        own = tokens(s)
         nw = s.n_words()
         for d, segs in enumerate(document_segments(s, m)):
             segs_of.append(segs)
