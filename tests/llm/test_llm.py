@@ -101,6 +101,58 @@ def test_neardup_group_of_mutations(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(sets))}
 
 
+def test_neardup_overlaps(monkeypatch):
+    rnd = np.random.default_rng(2)
+    monkeypatch.setattr(neardup, "TILE", 7)
+    xs, ys = ([np.unique(rnd.integers(0, 60, n)).astype(np.uint64) for n in sizes] for sizes in ((0, 1, 30, 50), (5, 0, 40)))
+    want = [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    assert neardup.overlaps(xs, ys).tolist() == want
+    none = np.zeros(0, np.uint64)
+    assert neardup.overlaps([none], [none, none]).tolist() == [[0, 0]]
+
+
+def test_neardup_forest():
+    a, b = np.array([0, 1, 0, 3, 1, 4]), np.array([1, 2, 2, 4, 0, 3])
+    kept = neardup.forest(a, b, 6)
+    assert len(kept) == 3
+    got = {frozenset((int(a[k]), int(b[k]))) for k in kept}
+    assert frozenset((3, 4)) in got and len(got) == 3
+    assert neardup.forest(a[:0], b[:0], 1) == []
+
+
+def test_neardup_large_band_of_small_components(spark):
+    """Families whose members share bands with each other's members, in bands beyond FEW."""
+    rnd = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for _ in range(30):
+        own = list(base)
+        for at in rnd.choice(200, 11, replace=False):
+            own[at] = f"f{rnd.integers(1e9)}"
+        for _ in range(4):
+            w = list(own)
+            for at in rnd.choice(200, 4, replace=False):
+                w[at] = f"m{rnd.integers(1e9)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [frozenset(zip(t.split(), t.split()[1:])) for t in texts]
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                p, q = sorted((find(i), find(j)))
+                up[q] = p
+    want = {i: find(i) for i in range(len(sets))}
+    assert len(set(want.values())) > 10
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, k=2).collect()} == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60) if i != 30] + [(100, i) for i in range(101, 150)] + [(5, 5), (None, 3), (7, 6)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}

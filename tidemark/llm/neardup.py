@@ -14,8 +14,12 @@ most central set (it shares most bands) is compared with the others, which
 joins a group of n near copies by about n comparisons. Only bands whose sets
 then are in several components go on: their sets are dealt into chunks of about
 CHUNK, and chunks are compared with chunks by their registers in blocks inside
-a task. A row leaves it only for two sets of different components whose sizes
-and registers allow the threshold, so no link between components is lost.
+a task. For a band of up to FEW sets, a row leaves it for two sets of different
+components whose sizes and registers allow the threshold; full sets are
+compared outside. In larger bands such pairs are confirmed on the full sets
+inside the block, all at once, and only the links of a spanning forest of the
+block's components leave it, so a block of many alike sets gives few rows. No
+link between components is lost either way.
 
 Misses: a pair at exactly the threshold of 0.8 shares no band with probability
 (1 - 0.8**ROWS)**BANDS = 3e-6, and falls below the estimate's margin of five
@@ -47,6 +51,12 @@ B, A, Q = 1.001, 20.0, 65534
 MARGIN = 0.16
 #: Sets in a chunk, about. A block of two chunks is compared in about a megabyte.
 CHUNK = 256
+#: Bytes of full sets in a chunk, about, where blocks carry them.
+CHUNK_BYTES = 2 << 20
+#: Bands of up to FEW sets give their plausible pairs, at most FEW / 2 a set; blocks of larger bands confirm theirs.
+FEW = 8
+#: Shingles whose incidence is multiplied at once.
+TILE = 4096
 
 _rng = np.random.default_rng(90210)
 _MUL = _rng.integers(0, 1 << 63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,22 +156,68 @@ def band_keys(sets: DataFrame) -> DataFrame:
     return map_arrow(sets.select("node", "regs"), run, f"band long, node {kind}")
 
 
-def _blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (a, b) between components. open_: (band, node, m, c), m members of the band, c the node's component."""
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of each set of xs with each of ys, as products of incidence matrices, TILE shingles at a time."""
+    nx, lens = len(xs), [len(v) for v in (*xs, *ys)]
+    row = np.repeat(np.arange(len(lens)), lens)
+    _, col = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
+    n = int(col.max()) + 1 if len(col) else 0
+    shared = (np.bincount(col[row < nx], minlength=n) > 0) & (np.bincount(col[row >= nx], minlength=n) > 0)
+    rank = np.cumsum(shared) - 1
+    row, col = row[shared[col]], rank[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((nx, len(ys)), np.int64)
+    for lo in range(0, int(shared.sum()), TILE):
+        p, q = np.searchsorted(col, [lo, lo + TILE])
+        hit = np.zeros((len(lens), TILE), np.float32)
+        hit[row[p:q], col[p:q] - lo] = 1
+        out += (hit[:nx] @ hit[nx:].T).astype(np.int64)
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
+    """Positions of links (a, b) between n components that suffice to join all that they join."""
+    up, kept = list(range(n)), []
+    _, first = np.unique(a.astype(np.int64) * n + b, return_index=True)
+    for k in first.tolist():
+        x, y = int(a[k]), int(b[k])
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[y] = x
+            kept.append(k)
+    return kept
+
+
+def _blocks(open_: DataFrame, sets: DataFrame, percent: int, full: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of open_ (band, node, m, c) between components, m members of the band, c the node's component.
+
+    Without full sets, all plausible pairs; with them, confirmed links, a spanning forest of each block's components.
+    A node of several rows in sets and full gives each of their combinations.
+    """
     kind = sets.schema["node"].dataType.simpleString()
-    deal = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("m") / CHUNK)).cast("int")
-    chunks = (
-        open_.join(sets.select("node", "n", "regs"), "node")
-        .groupBy("band", "m", deal.alias("i"))
-        .agg(F.collect_list("node").alias("nodes"), F.collect_list("c").alias("cs"), F.collect_list("n").alias("ns"), F.collect_list("regs").alias("regs"))
-    )
-    cols = ["nodes", "cs", "ns", "regs"]
-    left = chunks.select("band", F.explode(F.sequence("i", F.ceil(F.col("m") / CHUNK).cast("int") - 1)).alias("j"), "i", *(F.col(c).alias("l_" + c) for c in cols))
+    rows = open_.join(sets.select("node", "n", "regs"), "node")
+    parts = F.ceil(F.col("m") / CHUNK)
+    cols = ["node", "c", "n", "regs"]
+    inside = full is not None
+    if inside:
+        weight = rows.groupBy("band").agg(F.sum("n").alias("weight"))
+        rows = rows.join(weight, "band").join(full, "node")
+        parts = F.greatest(parts, F.ceil(F.col("weight") * 8 / CHUNK_BYTES))
+        cols.append("shingles")
+    rows = rows.withColumn("parts", parts.cast("int"))
+    deal = F.pmod(F.xxhash64("node", "band"), F.col("parts")).cast("int")
+    chunks = rows.groupBy("band", "parts", deal.alias("i")).agg(*(F.collect_list(c).alias(c) for c in cols))
+    left = chunks.select("band", F.explode(F.sequence("i", F.col("parts") - 1)).alias("j"), *(F.col(c).alias("l_" + c) for c in cols))
     right = chunks.select("band", F.col("i").alias("j"), *(F.col(c).alias("r_" + c) for c in cols))
 
     def run(b: pa.RecordBatch):
         for k in range(b.num_rows):
-            a1, c1, n1, r1, a2, c2, n2, r2 = (b.column(i)[k].values for i in range(8))
+            sides = [b.column(i)[k].values for i in range(b.num_columns)]
+            (a1, c1, n1, r1), (a2, c2, n2, r2) = sides[:4], sides[len(cols) : len(cols) + 4]
             who = pa.concat_arrays([c1, c2]).dictionary_encode().indices.to_numpy()
             c1, c2 = who[: len(c1)], who[len(c1) :]
             n1, n2 = n1.to_numpy(zero_copy_only=False).astype(float), n2.to_numpy(zero_copy_only=False).astype(float)
@@ -173,15 +229,27 @@ def _blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for r in range(M):
                 same += x[:, r, None] == y[None, :, r]
             p, q = np.nonzero(may & (same >= (percent / 100 - 2 * MARGIN) * M))
+            ok = np.zeros(len(p), bool)
             for lo in range(0, len(p), 4096):
                 u, v = p[lo : lo + 4096], q[lo : lo + 4096]
                 s, t = x[u], y[v]
-                j = likeliest((s == t).sum(axis=1), (s > t).sum(axis=1), (s < t).sum(axis=1), n1[u], n2[v])
-                ok = j >= percent / 100 - MARGIN
-                yield pa.record_batch([a1.take(pa.array(u[ok])), a2.take(pa.array(v[ok]))], ["a", "b"])
+                ok[lo : lo + 4096] = likeliest((s == t).sum(axis=1), (s > t).sum(axis=1), (s < t).sum(axis=1), n1[u], n2[v]) >= percent / 100 - MARGIN
+            p, q = p[ok], q[ok]
+            if inside and len(p):
+                (us, pi), (vs, qi) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+                xs = [np.frombuffer(sides[4][int(i)].as_buffer(), np.uint64) for i in us]
+                ys = [np.frombuffer(sides[9][int(i)].as_buffer(), np.uint64) for i in vs]
+                both = overlaps(xs, ys)[pi, qi]
+                union = np.array([len(v) for v in xs])[pi] + np.array([len(v) for v in ys])[qi] - both
+                ok = (both > 0) & (100 * both >= percent * union)
+                p, q = p[ok], q[ok]
+                tree = forest(c1[p], c2[q], int(who.max()) + 1)
+                p, q = p[tree], q[tree]
+            for lo in range(0, len(p), 4096):
+                yield pa.record_batch([a1.take(pa.array(p[lo : lo + 4096])), a2.take(pa.array(q[lo : lo + 4096]))], ["a", "b"])
 
-    rows = left.join(right, ["band", "j"]).select(*("l_" + c for c in cols), *("r_" + c for c in cols))
-    pairs = map_arrow(rows, run, f"a {kind}, b {kind}")
+    both = left.join(right, ["band", "j"]).select(*("l_" + c for c in cols), *("r_" + c for c in cols))
+    pairs = map_arrow(both, run, f"a {kind}, b {kind}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -260,7 +328,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     if open_.isEmpty():
         comp = roots.select("node", F.col("c").alias("component"))
     else:
-        more = _confirm(_blocks(open_, sets, percent), shingles, percent)
+        few, many = open_.where(F.col("m") <= FEW), open_.where(F.col("m") > FEW)
+        inside = _blocks(many, sets, percent, shingles).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        more = _confirm(_blocks(few, sets, percent), shingles, percent).unionByName(inside)
         comp = components(more.unionByName(roots.where("node <> c").select(F.col("node").alias("u"), F.col("c").alias("v"))))
     nodes = comp.select(F.col("node").alias("id"), F.col("component"))
     out = feats.select("id", F.col("n").alias("n_shingles")).join(nodes, "id", "left")
