@@ -36,8 +36,7 @@ CAPACITY = 2048
 END_ID = 0
 SALTS = 64
 #: Pieces of text whose ids a Python worker remembers, at most.
-CACHE = 800_000
-
+CACHE = 100_000
 
 
 def default_vocabulary() -> str:
