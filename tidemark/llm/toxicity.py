@@ -158,9 +158,10 @@ def fit(rows: list[tuple[str, int]], z_least: float = 3.0, cost: float = 0.03, p
     y = np.array([r[1] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         return none
-    parts, cut = [], list(slices(pa.array([r[0] for r in rows], pa.string())))
-    for s in cut:
-        # only sums per slice are kept, so memory follows the vocabulary and not the text
+    texts = pa.array([r[0] for r in rows], pa.string())
+    toks, tox, all_ = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for s in slices(texts):
+        # only sums are kept, so memory follows the vocabulary and not the text
         doc = np.repeat(np.arange(s.n, dtype=np.uint64), s.n_words())
         hs = []
         for h in tokens(s):
@@ -171,12 +172,11 @@ def fit(rows: list[tuple[str, int]], z_least: float = 3.0, cost: float = 0.03, p
             new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
             new &= g != 0
             hs.append((g[new], y[s.lo + d[new].astype(np.int64)]))
-        u, inv = np.unique(np.concatenate([g for g, _ in hs]), return_inverse=True)
-        parts.append((u, np.bincount(inv, weights=np.concatenate([z for _, z in hs]), minlength=len(u)), np.bincount(inv, minlength=len(u))))
-    toks, inv = np.unique(np.concatenate([u for u, _, _ in parts]), return_inverse=True)
-    tox = np.bincount(inv, weights=np.concatenate([t for _, t, _ in parts]), minlength=len(toks))
-    all_ = np.bincount(inv, weights=np.concatenate([n for _, _, n in parts]), minlength=len(toks))
-    del parts, inv
+        u, inv = np.unique(np.concatenate([toks, *(g for g, _ in hs)]), return_inverse=True)
+        tox = np.bincount(inv, weights=np.concatenate([tox, *(z for _, z in hs)]), minlength=len(u))
+        all_ = np.bincount(inv, weights=np.concatenate([all_, *(np.ones(len(g)) for g, _ in hs)]), minlength=len(u))
+        toks = u
+        del u, inv, hs
     clean = all_ - tox
     prior = PRIOR_FLAT + PRIOR_SHARE * all_
     a, b = tox + prior, clean + prior
@@ -190,7 +190,7 @@ def fit(rows: list[tuple[str, int]], z_least: float = 3.0, cost: float = 0.03, p
     best, length, segs_of = [], [], []
     levels = np.unique(m.weights)
     freq, total = np.zeros(len(levels)), 0
-    for s in cut:
+    for s in slices(texts):
         own = tokens(s)
         nw = s.n_words()
         for d, segs in enumerate(document_segments(s, m)):
