@@ -297,6 +297,29 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.find_overlaps(none, bench).count() == 0 and decontam.find_overlaps(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 1 to 24 words, each with 0 to 3 substituted words: all placements that the scoring rule accepts are found, and no others."""
+    from itertools import combinations
+
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in (1, 2, 3, *range(5, 21), 24)}
+    texts, want = [], set()
+    for n, w in items.items():
+        for k in range(4):
+            for gone in list(combinations(range(n), k))[:: 1 if n < 21 else 5]:
+                cur = best = 0
+                for j in range(n):
+                    cur = max(0, cur + (-2 if j in gone else 1))
+                    best = max(best, cur)
+                if best >= (n if n < 10 else min(12, -(-n // 2))):
+                    want.add((len(texts), n))
+                texts.append("before " + " ".join("zz" if j in gone else x for j, x in enumerate(w)) + " after")
+        assert k == 3 and sum(i == n for _, i in want) >= (1 if n < 10 else 1 + n)
+    assert {n for n, w in items.items() if len([1 for _, i in want if i == n]) == 1 + n + n * (n - 1) // 2 + n * (n - 1) * (n - 2) // 6} >= {18, 19, 20}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id int, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_overlaps(df, bench).collect()} == want
+
+
 def luhn(s):
     d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0

@@ -1,20 +1,26 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Words are runs of letters and digits, lower-cased. A mask selects SEEDS of the
-SPAN words at a position; the hash of the selected words ignores the others, so
-a substituted word leaves the seeds alone that skip it. Seeds of all benchmark
-items are joined with the seeds at every position of every document. Each hit
-fixes an alignment; around it, document and item are compared word by word and
-the best stretch is found, a match counting +1 and a substitution -PENALTY. A
-stretch of at least `least` is an overlap.
+Words are runs of letters and digits, lower-cased. A mask selects words at a
+position; the hash of the selected words ignores the others, so a substituted
+word leaves the seeds alone that skip it. Seeds of all benchmark items are
+joined with the seeds at every position of every document. Each hit fixes an
+alignment; around it, document and item are compared word by word and the best
+stretch is found, a match counting +1 and a substitution -PENALTY. A stretch is
+an overlap if it scores half the item's words, or `least` if that is less; an
+item of fewer than SPAN words has to be there whole.
+
+The masks lose no such stretch: one without four words in a row, and without
+three and two with one word between, scores 3 at most, and at least 5 are
+needed. Items of fewer words than the first mask has, if there are any, get a
+mask of their own length.
 
 The seeds of the benchmark are counted first: up to BROADCAST_SEEDS they are
 broadcast, beyond that both sides are shuffled by seed.
 
-Defined results: null and empty texts or items match nothing; items of fewer
-than SPAN words are too short to be evidence and match nothing; repeated items
+Defined results: null and empty texts or items match nothing; repeated items
 count once per item_id and text; repeated documents each get their overlaps;
-extra columns are ignored.
+decontaminate() judges each row by itself, whatever its id; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The selected positions of each mask, within SPAN words.
+# Items below SPAN words have to match whole; the selected positions of each mask.
 SPAN = 10
-MASKS = ((0, 1, 2, 4, 5, 7, 9), (0, 2, 3, 5, 6, 8, 9), (0, 1, 3, 4, 6, 8, 9))
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4, 5))
 PENALTY = 2
 LEAST = 12
 #: Benchmark seeds that are broadcast, at most (about 50 MB); more are joined by shuffle.
@@ -37,30 +43,32 @@ def word_hashes(text: str) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(h: str, size: str) -> Column:
-    """Seed hashes of all positions, mask after mask; each mask has size - SPAN + 1 of them."""
+def seeds(h: str, size: str, masks: tuple[tuple[int, ...], ...] = MASKS) -> Column:
+    """Seed hashes, mask after mask; each mask has as many as there are words, null where it reaches beyond the last."""
 
-    def of(k: int, mask: tuple[int, ...]) -> Column:
-        at = F.sequence(F.lit(0), F.col(size) - SPAN)
-        return F.transform(at, lambda i: F.xxhash64(F.lit(k), *(F.get(F.col(h), i + p) for p in mask)))
+    def of(mask: tuple[int, ...]) -> Column:
+        at = F.sequence(F.lit(0), F.col(size) - 1)
+        inside = lambda i: i < F.col(size) - mask[-1]
+        return F.transform(at, lambda i: F.when(inside(i), F.xxhash64(F.lit(str(mask)), *(F.get(F.col(h), i + p) for p in mask))))
 
-    per_mask = [of(k, mask) for k, mask in enumerate(MASKS)]
-    return F.concat(*per_mask)
+    return F.concat(*(of(mask) for mask in masks))
 
 
-def _with_seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    sized = df.withColumn("_n", F.size("_h")).where(F.col("_n") >= SPAN)
-    out = sized.select(*keep, "_n", F.posexplode(seeds("_h", "_n")).alias("_p", "seed"))
-    return out.select(*keep, F.pmod("_p", F.col("_n") - SPAN + 1).alias("pos"), "seed")
+def _with_seeds(df: DataFrame, keep: list[str], masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    sized = df.withColumn("_n", F.size("_h")).where(F.col("_n") > 0)
+    out = sized.select(*keep, "_n", F.posexplode(seeds("_h", "_n", masks)).alias("_p", "seed")).where("seed is not null")
+    return out.select(*keep, F.pmod("_p", "_n").alias("pos"), "seed")
 
 
 def find_overlaps(docs: DataFrame, bench: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document id and item that overlap: doc id, item id, score, words matched of the item, item's words, first word in the document."""
     items = bench.select(F.col(item_col).alias("item"), F.col(item_text).alias("_t")).where("_t is not null").distinct().withColumn("_h", word_hashes("_t")).select("item", "_h")
-    item_seeds = _with_seeds(items, ["item"]).select("item", F.col("pos").alias("q"), "seed")
+    short = items.select(F.size("_h").alias("n")).where(F.col("n").between(1, len(MASKS[0]) - 1)).distinct().collect()
+    masks = (*MASKS, *(tuple(range(r.n)) for r in short))
+    item_seeds = _with_seeds(items, ["item"], masks).select("item", F.col("pos").alias("q"), "seed")
     small = item_seeds.count() <= BROADCAST_SEEDS
     hashed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).where("_t is not null").withColumn("_h", word_hashes("_t")).select("id", "_h")
-    hits = _with_seeds(hashed, ["id"]).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
+    hits = _with_seeds(hashed, ["id"], masks).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
     lines = hits.select("id", "item", (F.col("pos") - F.col("q")).alias("shift")).distinct()
     both = hashed.withColumnRenamed("_h", "dh").join(lines, hashed["id"].eqNullSafe(lines["id"])).drop(lines["id"])
     other = items.withColumnRenamed("_h", "ih").withColumnRenamed("item", "item2")
@@ -74,7 +82,9 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, least: int = LEAST, id_col:
         cur = F.greatest(F.lit(0), s["cur"] + F.when(e, 1).otherwise(-PENALTY))
         return F.struct(cur.alias("cur"), F.greatest(s["best"], cur).alias("best"), (s["hits"] + e.cast("int")).alias("hits"))
 
-    scored = both.where(hi >= lo).withColumn("s", F.aggregate(equal, zero, step)).where(F.col("s.best") >= least)
+    size = F.size("ih")
+    need = F.when(size < SPAN, size).otherwise(F.least(F.lit(least), F.ceil(size / 2)))
+    scored = both.where(hi >= lo).withColumn("s", F.aggregate(equal, zero, step)).where(F.col("s.best") >= need)
     best = scored.groupBy("id", "item").agg(
         F.max(F.struct("s.best", "s.hits", -F.col("shift"), F.size("ih").alias("words"))).alias("m")
     )
