@@ -343,6 +343,33 @@ def test_pii(spark, docs, none):
     assert pii.pseudonymise(docs).columns == docs.columns and pii.pseudonymise(none).count() == 0
 
 
+def test_pii_beside_digits_and_capitals(spark):
+    """Valid values next to numbers, capitals and each other: {} marks what has to change; the rest stays."""
+    card, amex, be, de = "4111 1111 1111 1111", "378282246310005", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"
+    flat = card.replace(" ", "")
+    cases = [
+        [card, " 123"], [flat, " 12/26"], [flat, " 500 EUR"], ["12 ", card], ["12345 ", card, " 7"], [card, " ", card, " ", amex], [card, "-12a"], [card, " 12a4"], [card, "EUR"],
+        [flat, " ", "2026-05-01"], [flat, " ", "12/31/1999"], [flat, " ", "10.0.0.1"], [flat, " ", "123-45-6789"], [flat, " ", "12ab@x.com"], [flat, " ", "212-555-1234"], [amex, " 1234"],
+        [be, " EUR"], [be.replace(" ", ""), " BIC"], [be, " PAID NOW"], [be, " ", de], [be, " ", card], ["AB12 CDEF GHIJ ", be], ["AB12 CDEF GHIJ ", card], [de, " 12"], [be, " ", "2020-02-29"],
+        ["12/31/1999"], ["1875-05-05"], ["2150-05-05"], ["9999-12-31"], ["(212) 555-1234"], ["212-555-1234"], ["13/31/1999"], ["4111 1111 1111 1112 123"],
+    ]
+    stay = re.compile(r" \d{1,4}(/26| EUR)?|12(345)? |[ -]12a4?|EUR| (EUR|BIC|PAID NOW)|AB12 CDEF GHIJ | |13/31/1999|4111 1111 1111 1112 123")
+    df = spark.createDataFrame([(i, f"x: {''.join(c)}.") for i, c in enumerate(cases)], "n int, text string")
+    for r in pii.pseudonymise(df).collect():
+        at = 3
+        for part in cases[r.n]:
+            got = r.text[at : at + len(part)] if part != "10.0.0.1" else r.text[at:-1]
+            assert (got == part) == bool(stay.fullmatch(part)), (cases[r.n], r.text)
+            assert part not in (card, flat, amex) or luhn(got), (cases[r.n], r.text)
+            assert part not in (be, de) or int("".join(str(int(c, 36)) for c in (got[4:] + got[:4]).replace(" ", ""))) % 97 == 1
+            at += len(got)
+    long = " ".join(str(i % 97) for i in range(20000)) + " " + card
+    assert not pii.pseudonymise(spark.createDataFrame([(long,)], "text string")).first().text.endswith(card)
+    first = spark.range(6000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12")
+    us = pii.pseudonymise(first.select(F.date_format("d", "MM/dd/yyyy").alias("text")))
+    assert us.distinct().count() == first.count() and us.where("int(substr(text, 4, 2)) <= 12").count() == 0
+
+
 def test_tool_calls(spark):
     msgs = spark.createDataFrame(
         [

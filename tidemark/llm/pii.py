@@ -7,10 +7,18 @@ radix (10 for digits, 26 for letters of either case, 256 for octets), its round
 function being SHA-256 of key, kind, round, position and the other half. It is a
 permutation per format, so equal values get equal pseudonyms in every document
 and different values stay different. Check digits are computed anew, so a valid
-number stays valid. Dates permute among DAYS days from EPOCH on.
+number stays valid. Dates permute among DAYS days from EPOCH on, dates before
+and after within their own span of DAYS days; a date that is valid only with the
+month first gets another such date.
+
+A card candidate is a whole run of digit groups; every valid number of 13 to 19
+digits made of whole groups is replaced in it, from the left, the longest first.
+An IBAN has its country's length; where the country is not known, or that length
+does not fit, it is a run of groups, and if that fails, cards are sought in it.
 
 Defined results: null text stays null, empty stays empty; candidates that fail
-validation stay; repeated rows are treated alike; other columns pass unchanged,
+validation stay; phone numbers without + are found as 3-3-4 digits with
+separators only; repeated rows are treated alike; other columns pass unchanged,
 also if they have the names used here.
 """
 
@@ -24,13 +32,26 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)"
 DATE = r"(?<![\w/-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4})(?![\w/-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Length of an IBAN by country, as registered.
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_KNOWN = "(?:" + "|".join(rf"(?:{v.replace(' ', '|')})\d\d(?: ?[A-Z0-9]){{{n - 4}}}" for n, v in IBAN_LENGTH.items()) + ")(?![A-Za-z0-9])"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
+LOCAL_PHONE = r"(?<![\w+.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]|[ .]\d)"
 SSN = r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]?\d)"
-CANDIDATE = "|".join((EMAIL, IP, DATE, IBAN, PHONE, SSN, CARD))
+#: What a run of groups must not take in: the other kinds, as they stand after a space or hyphen.
+OTHER = rf"(?:{EMAIL}|{IP}|(?:\d{{4}}-\d\d-\d\d|\d\d/\d\d/\d{{4}}|\d{{3}}-\d\d-\d{{4}})(?![\w/-])|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}(?![\w-]|[ .]\d))"
+IBAN_RUN = rf"[A-Z]{{2}}\d\d(?: ?(?!{IBAN_KNOWN}|{OTHER})[A-Z0-9]{{4}}){{2,7}}(?: ?(?!{OTHER})[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
+IBAN = rf"(?<![A-Za-z0-9])(?:{IBAN_KNOWN}|{IBAN_RUN})"
+CARD = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}})\d++(?!\w\d)(?:[ -](?!{OTHER})\d++(?!\w\d))*+"
+CANDIDATE = "|".join((EMAIL, IP, DATE, IBAN, PHONE, LOCAL_PHONE, SSN, CARD))
 EPOCH, SIDES = "1900-01-01", (292, 250)
 DAYS = SIDES[0] * SIDES[1]
+#: Turns of a date's permutation, at most, until the result has the date's own form; about two in five turns miss it with the month first.
+TURNS = 64
 ROUNDS = 6
 DEFAULT_KEY = "tidemark"
 
@@ -126,30 +147,81 @@ def _day(m: Column, fmt: str) -> Column:
     return F.datediff(F.try_to_date(m, fmt), F.to_date(F.lit(EPOCH)))
 
 
-def _date(m: Column, fmt: str, key: str) -> Column:
-    d = _day(m, fmt)
-    out = _feistel(F.array(F.floor(d / SIDES[1]), d % SIDES[1]), F.array(F.lit(SIDES[0]), F.lit(SIDES[1])), key, "date")
-    return F.date_format(F.date_add(F.to_date(F.lit(EPOCH)), (F.get(out, F.lit(0)) * SIDES[1] + F.get(out, F.lit(1))).cast("int")), fmt)
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once: as a lambda's variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _date(m: Column, key: str) -> Column:
+    """Permuted within its span of DAYS days, again until the year has four digits and, with the month first, the day is beyond 12; m itself if it is no date."""
+    epoch = F.to_date(F.lit(EPOCH))
+    forms = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")
+    days = F.array(*(F.when(F.year(F.try_to_date(m, f)) > 0, _day(m, f)) for f in forms))
+
+    def fits(d: Column, form: Column) -> Column:
+        day = F.date_add(epoch, d)
+        return F.year(day).between(1, 9999) & ((form < 2) | (F.dayofmonth(day) > 12))
+
+    def permuted(d: Column) -> Column:
+        era = F.floor(d / DAYS) * DAYS
+        out = _feistel(F.array(F.floor((d - era) / SIDES[1]), (d - era) % SIDES[1]), F.array(F.lit(SIDES[0]), F.lit(SIDES[1])), key, "date")
+        return _bound(out, lambda o: (era + F.get(o, F.lit(0)) * SIDES[1] + F.get(o, F.lit(1))).cast("int"))
+
+    def put(ds: Column, form: Column) -> Column:
+        turn = lambda st, i: F.when((i > 0) & fits(st, form), st).otherwise(permuted(st))
+        day = F.aggregate(F.sequence(F.lit(0), F.lit(TURNS - 1)), F.get(ds, form), turn)
+        texts = lambda d: F.get(F.array(*(F.date_format(F.date_add(epoch, d), f) for f in forms)), form)
+        return _bound(day, texts)
+
+    first = lambda ds: F.array_min(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get(ds, i).isNotNull()))
+    return _bound(days, lambda ds: _bound(first(ds), lambda form: F.when(form.isNull(), m).otherwise(put(ds, form))))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """m, a run of digit groups, with its valid card numbers replaced: whole groups of 13 to 19 digits, from the left, the longest first."""
+    parts = F.regexp_extract_all(m, F.lit(r"[ -]?\d+"), F.lit(0))
+
+    def at(ps: Column, i: Column) -> Column:
+        span = lambda n: F.array_join(F.slice(ps, i + 1, n), "")
+        valid = lambda d: F.length(d).between(13, 19) & (_luhn_sum(d, 1) % 10 == 0)
+        most = F.least(F.lit(19), F.size(ps) - i)
+        return F.array_max(F.filter(F.sequence(F.lit(1), most), lambda n: valid(_digits(span(n)))))
+
+    def put(st: Column, i: Column, ps: Column) -> Column:
+        def then(n: Column) -> Column:
+            whole = F.array_join(F.slice(ps, i + 1, n), "")
+            sep = F.regexp_extract(whole, "^[ -]?", 0)
+            card = F.concat(sep, _card(F.regexp_replace(whole, "^[ -]", ""), key))
+            found = F.struct(F.concat(st["t"], card).alias("t"), (i + n).cast("int").alias("k"))
+            return F.when(n.isNotNull(), found).otherwise(F.struct(F.concat(st["t"], F.get(ps, i)).alias("t"), (i + 1).cast("int").alias("k")))
+
+        return F.when(i < st["k"], st).otherwise(_bound(at(ps, i), then))
+
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("k"))
+    run = lambda ps: F.aggregate(F.sequence(F.lit(0), F.size(ps) - 1), start, lambda st, i: put(st, i, ps), lambda st: st["t"])
+    return _bound(parts, run)
+
+
+def _cards_within(m: Column, key: str) -> Column:
+    """m with the card numbers of its runs of digit groups replaced."""
+    runs = F.transform(F.regexp_extract_all(m, F.lit(f"({CARD})"), F.lit(1)), lambda x: _cards(x, key))
+    return F.concat_ws("", F.zip_with(F.split(m, CARD, -1), runs, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))))
 
 
 def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
     """The pseudonym of one candidate, or the candidate itself where it is not valid."""
     whole = lambda rx: m.rlike(f"^(?:{rx})$")
     tld = F.regexp_extract(m, r"\.[^.]*$", 0)
-    digits = _digits(m)
-    iso, slash = "yyyy-MM-dd", "dd/MM/yyyy"
-    in_days = lambda fmt: _day(m, fmt).between(0, DAYS - 1)
     compact = F.regexp_replace(m, " ", "")
     return (
         F.when(m.contains("@"), F.concat(_letters(F.substring(m, F.lit(1), F.length(m) - F.length(tld)), key, "email"), tld))
         .when(whole(IP), _ip(m, key))
-        .when(whole(r"\d{4}-\d\d-\d\d"), F.when(in_days(iso), _date(m, iso, key)).otherwise(m))
-        .when(whole(r"\d\d/\d\d/\d{4}"), F.when(in_days(slash), _date(m, slash, key)).otherwise(m))
-        .when(m.rlike("^[A-Z]"), F.when(_mod97(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))) == 1, _iban(m, key)).otherwise(m))
+        .when(whole(r"\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}"), _date(m, key))
+        .when(m.rlike("^[A-Z]") & (_mod97(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))) == 1), _iban(m, key))
         .when(m.startswith("+"), F.concat(F.regexp_extract(m, r"^\+\d{1,3}", 0), _letters(F.regexp_replace(m, r"^\+\d{1,3}", ""), key, "phone")))
         .when(whole(r"\d{3}-\d\d-\d{4}"), _letters(m, key, "ssn"))
-        .when(_luhn_sum(digits, 1) % 10 == 0, _card(m, key))
-        .otherwise(m)
+        .when(whole(LOCAL_PHONE), _letters(m, key, "phone"))
+        .otherwise(_cards_within(m, key))
     )
 
 
@@ -160,9 +232,10 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     new = F.transform(found, lambda m: pseudonym(m, key))
     # split() takes the same expression, so the gaps are those around the candidates
     gaps = F.split(text, CANDIDATE, -1)
-    joined = F.concat_ws("", F.zip_with(gaps, new, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))))
+    joined = lambda new: F.concat_ws("", F.zip_with(gaps, new, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))))
+    changed = lambda new: F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
     may = text.rlike(r"[0-9][ .()/-]{0,2}[0-9]|@")
-    both = F.when(may, F.struct(joined.alias("t"), F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)).alias("n")))
+    both = F.when(may, _bound(new, lambda x: F.struct(joined(x).alias("t"), changed(x).alias("n"))))
     taken = {*docs.columns, count_col}
     tmp = next(f"_pii{i}" for i in range(len(taken) + 1) if f"_pii{i}" not in taken)
     out = docs.withColumn(tmp, both)
