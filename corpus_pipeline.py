@@ -7,7 +7,6 @@ kept; run() writes each stage's rows as Parquet and rereads them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, neardup, packing, pii, toxicity
 from tidemark.llm.core import materialize, release, table
@@ -22,10 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at five words and 0.8."""
-    marks = neardup.near_duplicates(docs)
-    gone = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One document of each group at five words and 0.8; rows of null or repeated ids are judged one by one."""
+    return neardup.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -407,3 +407,22 @@ def test_pipeline_stages(spark):
     out = p.run(spark, SF).collect()
     assert {r.doc_id for r in out} == set(texts) and 0 < len(texts) < docs.count()
     assert hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_pipeline_judges_rows(spark, tmp_path, stored):
+    """Null and repeated ids of which one row is contaminated or a copy."""
+    import corpus_pipeline as p
+
+    own = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(None, own("a")), (None, own("b")), (None, own("b")), (7, own("c")), (7, own("d")), (3, own("d")), (7, own("e")), (7, own("e")), (9, own("f")), (2, own("f")), (5, None), (5, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    if stored:
+        df.repartition(5).write.parquet(str(tmp_path / "d.parquet"))
+        df = spark.read.parquet(str(tmp_path / "d.parquet"))
+    want = Counter({(None, own("a")): 1, (None, own("b")): 1, (7, own("c")): 1, (3, own("d")): 1, (7, own("e")): 1, (2, own("f")): 1, (5, None): 2, (None, ""): 1})
+    kept = p.drop_near_duplicates(spark, df, SF)
+    assert kept.columns == df.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == want
+    bench = spark.createDataFrame([(1, own("b")), (2, own("c"))], "item_id int, text string")
+    left = Counter({k: n for k, n in Counter(rows).items() if k[1] not in (own("b"), own("c"))})
+    assert Counter((r.doc_id, r.text) for r in decontam.decontaminate(df, bench).collect()) == left

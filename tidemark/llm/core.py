@@ -71,6 +71,29 @@ def release(df: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of its own on each row, the same however often the frame is read.
+
+    A frame that is just files has such a number already: the row's place in its file. Any other
+    frame is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = materialize(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
+        return docs
+    spark, path, row = docs.sparkSession, F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = sorted(r.p for r in docs.select(path.alias("p")).distinct().collect())  # one row a file
+    cols = docs.columns
+    numbered = spark.createDataFrame([(p, i) for i, p in enumerate(files)], f"{name}_p string, {name}_f long")
+    keyed = docs.select(*cols, path.alias(f"{name}_q"), row.alias(name)).join(F.broadcast(numbered), F.col(f"{name}_q") == F.col(f"{name}_p"))
+    return keyed.select(*cols, (F.shiftleft(f"{name}_f", 40) + F.col(name)).alias(name))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with a number where df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}{i}" for i in range(len(taken) + 1))) if x.lower() not in taken)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .core import free_name, with_row_key
+
 # Items below SPAN words have to match whole; the selected positions of each mask.
 SPAN = 10
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4, 5))
@@ -99,6 +101,8 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, least: int = LEAST, id_col:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """docs without the rows whose id has an overlap. Rows with a null id go only if a null-id row overlaps."""
-    found = find_overlaps(docs, bench, id_col=id_col, **kw).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_bad"]), "left_anti")
+    """docs without the rows that have an overlap, each row by itself: id_col may be null or repeated."""
+    key = free_name(docs, "_row")
+    keyed = with_row_key(docs, key)
+    found = find_overlaps(keyed, bench, id_col=key, **kw).select(F.col(key).alias("_bad")).distinct()
+    return keyed.join(found, keyed[key] == found["_bad"], "left_anti").drop(key)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import Slice, map_arrow, materialize, mix, slices, windows
+from .core import Slice, free_name, map_arrow, materialize, mix, slices, windows, with_row_key
 
 SHINGLE = 5
 #: Similarity threshold in hundredths, so that it is compared exactly.
@@ -336,3 +336,17 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     out = feats.select("id", F.col("n").alias("n_shingles")).join(nodes, "id", "left")
     linked = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", linked.alias("component_id"), (F.col("id").isNull() | (F.col("id") == linked)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies: the one of least id, null last. Each row is judged by itself: ids may be null or repeated."""
+    key = free_name(docs, "_row")
+    keyed = with_row_key(docs, key)
+    marks = near_duplicates(keyed, k, percent, key, text_col)
+    twins = materialize(marks.where(~F.col("kept")).select(F.col(key).alias("_k"), F.col("component_id").alias("_c")), "twins")
+    members = twins.unionByName(twins.select(F.col("_c").alias("_k"), "_c").distinct())
+    order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("_k").alias("k"))
+    named = members.join(keyed.select(F.col(key).alias("_k"), id_col), "_k")
+    best = named.groupBy("_c").agg(F.min(order).alias("_b")).select(F.col("_b.k").alias("_k"))
+    gone = members.select("_k").join(best, "_k", "left_anti")
+    return keyed.join(gone, keyed[key] == gone["_k"], "left_anti").drop(key)
