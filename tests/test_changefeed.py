@@ -291,3 +291,27 @@ def test_query_matches_its_sql(spark, name):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.sql(f"select {','.join(cols)} from ({catalogue.ORACLES[name]}) z").fetchall()
     assert sorted(map(repr, map(tuple, df.select(*cols).collect()))) == sorted(map(repr, want))
+
+
+def test_resolve_as_of_brute_force(spark):
+    """Null paths, gaps, empty intervals and identifiers without versions, against every interval; no join in the plan."""
+    rnd = random.Random(4)
+    spans = []
+    for f in "abc":
+        cuts = sorted(rnd.sample(range(200), 40))
+        spans += [(f, None if rnd.random() < 0.2 else f"{f}{i}", x, y) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if rnd.random() < 0.8] + [(f, f"{f}z", cuts[-1], None), (f, "never", 5, 5)]
+    recs = [(u, rnd.choice([*"abcd", None]), f"n{u}") for u in range(220)]
+    want = {(u, f"{p}\\{n}") for u, f, n in recs for g, p, x, y in spans if f == g and p is not None and x <= u and (y is None or u < y)}
+    got = M.resolve_as_of(spark.createDataFrame(recs, "usn long, parent_frn string, name string"), spark.createDataFrame(spans, "frn string, path string, from_usn long, to_usn long"))
+    assert len(want) > 50 and sorted((r.usn, r.path) for r in got.collect()) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_temporal_dir_resolution_whole(spark):
+    """Each event is the directory version that it resolves against itself."""
+    import __spark_entry__ as e
+
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet").collect()
+    got = sorted((r.usn, r.path) for r in e.queries()["temporal_dir_resolution_whole"](spark, sf).collect())
+    assert got == sorted((r.event_id, f"d{r.event_id}\\{r.event_type}") for r in events)

@@ -70,7 +70,17 @@ def versions(changes: DataFrame) -> DataFrame:
 
 
 def resolve_as_of(records: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Records with the path that their parent had at their USN."""
-    v = intervals.select(F.col("frn").alias("parent_frn"), F.col("path").alias("_parent"), "from_usn", "to_usn")
-    hit = (F.col("usn") >= F.col("from_usn")) & (F.col("to_usn").isNull() | (F.col("usn") < F.col("to_usn")))
-    return records.join(v, "parent_frn").where(hit & F.col("_parent").isNotNull()).withColumn("path", child_path(F.col("_parent"), F.col("name"))).drop("_parent", "from_usn", "to_usn")
+    """Records with the path that their parent had at their USN; an identifier's intervals don't overlap.
+
+    Starts and ends of intervals and records are sorted together by (frn, usn), and a record takes the
+    last start or end before it: no record meets more than one version.
+    """
+    v = intervals.select(F.col("frn").alias("parent_frn"), "path", "from_usn", "to_usn").where("to_usn is null or from_usn < to_usn")
+    starts = v.select("parent_frn", F.col("from_usn").alias("_at"), F.lit(1).alias("_kind"), F.struct("path").alias("_v"))
+    ends = v.where("to_usn is not null").select("parent_frn", F.col("to_usn").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.lit(None).cast(v.schema["path"].dataType).alias("path")).alias("_v"))
+    rows = records.where("parent_frn is not null").select("parent_frn", F.col("usn").alias("_at"), F.lit(2).alias("_kind"), F.struct(*(c for c in records.columns)).alias("_r"))
+    both = rows.unionByName(starts.unionByName(ends), allowMissingColumns=True)
+    seen = W.partitionBy("parent_frn").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = both.withColumn("_parent", F.last("_v", ignorenulls=True).over(seen)["path"]).where("_kind = 2 and _parent is not null")
+    others = [F.col("_r")[c].alias(c) for c in records.columns if c not in ("parent_frn", "path")]
+    return last.select("parent_frn", *others, child_path(F.col("_parent"), F.col("_r")["name"]).alias("path"))

@@ -239,6 +239,15 @@ def temporal_dir_resolution(spark, sf):
     return M.resolve_as_of(rel(spark, sf, ASOF), M.versions(rel(spark, sf, CHANGES))).select("usn", "path")
 
 
+@query(None)
+def temporal_dir_resolution_whole(spark, sf):
+    """Every event is a directory version too. Without SQL: a join would make all pairs within 20 hot keys."""
+    changes = table(spark, sf, "events").select(
+        F.concat(F.lit("f"), (F.col("user_id") % 20).cast("string")).alias("frn"), F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("path"), F.col("event_id").alias("usn")
+    )
+    return M.resolve_as_of(rel(spark, sf, ASOF), M.versions(changes)).select("usn", "path")
+
+
 GATE_IN = """select c_custkey, cast(c_nationkey as bigint) as cj, c_custkey as cn, cast(case when c_custkey % 17 = 0 then 4 else 0 end as bigint) as pending, c_custkey % 19 <> 0 as have,
  cast(n_nationkey - case when n_nationkey % 9 = 0 then 1 else 0 end as bigint) as j, cast(n_nationkey * 10 as bigint) as f, cast(n_nationkey * 15 as bigint) as l, cast(500 + n_nationkey * 20 as bigint) as nx
  from customer join nation on c_nationkey = n_nationkey"""
