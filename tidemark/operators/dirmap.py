@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import IgnoreRules, child_path, is_under, rewrite_prefix, within
-from ..runtime import materialize
+from ..runtime import materialize, release
 
 
 def resolve_parents(records: DataFrame, dirmap: DataFrame) -> DataFrame:
@@ -27,6 +27,7 @@ def closure(nodes: DataFrame) -> DataFrame:
     count = at.count()
     rounds = 0
     while rounds <= max(count, 2).bit_length() and not at.where("up is not null").isEmpty():
+        last = at
         above = at.select(F.col("frn").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_p"))
         joined = at.join(above, "up", "left")
         at = materialize(
@@ -35,6 +36,7 @@ def closure(nodes: DataFrame) -> DataFrame:
             ),
             "closure",
         )
+        release(last)
         rounds += 1
     return at.where("up is null").select("frn", "path")
 

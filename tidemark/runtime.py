@@ -6,9 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
 
 def session(app: str = "tidemark", **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution; conf entries use __ for dots."""
@@ -19,9 +23,16 @@ def session(app: str = "tidemark", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one is set only where none is."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder of its own; on a cluster, whose
+    executors would not see one, this raises.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -32,8 +43,48 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete a materialized frame that nothing reads any more."""
+    path = getattr(df, "_tidemark_path", None)
+    if path:
+        for s in _scopes:
+            s[:] = [x for x in s if x[1] != path]
+        delete_path(df.sparkSession, path)
+
+
+@contextmanager
+def scratch() -> Iterator[list]:
+    """Deletes at its end what was materialized within, apart from frames handed to keep()."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for spark, path in _scopes.pop():
+            delete_path(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A materialized frame that outlives the innermost scratch(); the next outer one, if any, takes it."""
+    path = getattr(df, "_tidemark_path", None)
+    if path and _scopes:
+        mine = [x for x in _scopes[-1] if x[1] == path]
+        _scopes[-1][:] = [x for x in _scopes[-1] if x[1] != path]
+        if len(_scopes) > 1:
+            _scopes[-2].extend(mine)
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
