@@ -1,25 +1,26 @@
-"""Shared pieces of the training-data operators: tables, durable intermediates,
-and vectorised word hashing over Arrow string batches.
+"""Shared pieces of the training-data operators: vectorised words, their keys and
+windows over Arrow string batches, row keys, and the labelled sample.
 
 Words are runs of bytes other than the six ASCII white-space characters. They
-are found and hashed for a whole slice of documents at once with numpy, so no
-Python code runs per word.
+are found for a whole slice of documents at once with numpy. Equal words of a
+slice are found by their bytes (a dictionary); only distinct words are hashed
+in Python, with 128 bits of BLAKE2b, so that different words have different keys
+whatever they are made of. Keys of runs of words are combined by a tree of
+non-linear steps.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..runtime import keep, materialize, release, scratch, table
 
 #: Text bytes that one vectorised step works on; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 19
@@ -38,39 +39,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one is set only where none is."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a materialized frame that nothing reads any more."""
-    path = getattr(df, "_tidemark_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
-
-
 def with_row_key(docs: DataFrame, name: str) -> DataFrame:
     """docs with a number of its own on each row, the same however often the frame is read.
 
@@ -98,11 +66,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(docs: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns."""
-    return docs.select(*cols)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser, in place on a fresh array."""
     h = h ^ (h >> np.uint64(33))
@@ -123,6 +86,15 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def dictionary(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Byte strings that stand end to end in data: the number of each among the distinct ones, and the distinct ones."""
+    offs = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offs[1:])
+    all_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))])
+    enc = all_.dictionary_encode()
+    return enc.indices.to_numpy().astype(np.int64), enc.dictionary
+
+
 @dataclass
 class Slice:
     """A run of documents: bytes, document offsets, and word spans in bytes."""
@@ -135,6 +107,7 @@ class Slice:
     lo: int
     hi: int
     _prefix: np.ndarray | None = None
+    _ids: dict = field(default_factory=dict)
 
     @property
     def n(self) -> int:
@@ -146,20 +119,29 @@ class Slice:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), np.diff(self.woffs))
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-        d = self.data if data is None else data
-        if self._prefix is None or data is not None:
-            p = np.zeros(len(d) + 1, np.uint64)
-            np.cumsum(_BYTE[d] * _power("up", _MULT, len(d)), out=p[1:])
-            if data is None:
-                self._prefix = p
-        else:
-            p = self._prefix
-        return mix((p[end] - p[start]) * _power("down", _INV, len(d) + 1)[start] + (end - start).astype(np.uint64))
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hash of each byte span, for hashed features: text can be made whose hashes collide."""
+        if self._prefix is None:
+            self._prefix = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_BYTE[self.data] * _power("up", _MULT, len(self.data)), out=self._prefix[1:])
+        p = self._prefix
+        return mix((p[end] - p[start]) * _power("down", _INV, len(self.data) + 1)[start] + (end - start).astype(np.uint64))
+
+    def word_ids(self, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+        """The number of each word among the slice's distinct words, and these; exact."""
+        if lower not in self._ids:
+            data = self.data[~SPACE[self.data]]
+            self._ids[lower] = dictionary(LOWER[data] if lower else data, self.end - self.start)
+        return self._ids[lower]
+
+    def word_keys(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit keys of each word, equal for equal words in every slice."""
+        ids, words = self.word_ids(lower)
+        keys = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in words.to_pylist()), np.uint64).reshape(-1, 2)
+        return keys[ids, 0], keys[ids, 1]
 
     def word_hash(self, lower: bool = False) -> np.ndarray:
-        return self.span_hash(self.start, self.end, LOWER[self.data] if lower else None)
+        return self.word_keys(lower)[0]
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sum over each document's bytes."""
@@ -211,30 +193,48 @@ def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         lo = hi
 
 
-def windows(h: np.ndarray, woffs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each k-word window that lies inside one document, and the index of its first word."""
-    n = len(h) - k + 1
+#: Odd multipliers of the left and right part of a run, by lane.
+_JOIN = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+
+
+def runs(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """A 64-bit key of each run of k values: runs of powers of two by doubling, joined to k; each step mixes anew."""
+    left, right = (np.uint64(x) for x in _JOIN[lane])
+    join = lambda a, b: mix(a * left + b * right)
+    part, width, out, done = h, 1, None, 0
+    while True:
+        if k & width:
+            out = part if out is None else join(out[: len(part) - done], part[done:])
+            done += width
+        if done == k:
+            return out[: max(0, len(h) - k + 1)]
+        part, width = join(part[:-width], part[width:]), 2 * width
+
+
+def inside(woffs: np.ndarray, k: int) -> np.ndarray:
+    """First words of the runs of k words that lie inside one document."""
+    n = int(woffs[-1]) - k + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    p = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * _power("up", _MULT, len(h)), out=p[1:])
-    w = mix((p[k:] - p[:-k]) * _power("down", _INV, len(h) + 1)[:n])
+        return np.zeros(0, np.int64)
     ok = np.zeros(n + 1, np.int32)
-    inside = np.ones(n, bool)
     # starts in the last k-1 words of a document would reach into the next one
     np.add.at(ok, np.clip(np.maximum(woffs[1:] - k + 1, woffs[:-1]), 0, n), 1)
     np.add.at(ok, np.clip(woffs[1:], 0, n), -1)
-    inside = np.cumsum(ok[:-1]) == 0
-    at = np.flatnonzero(inside)
-    return w[at], at
+    return np.flatnonzero(np.cumsum(ok[:-1]) == 0)
 
 
-def arrow_schema(schema: str) -> T.StructType:
-    return T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(schema)
+def windows(h: np.ndarray, woffs: np.ndarray, k: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each k-word window that lies inside one document, and the index of its first word."""
+    at = inside(woffs, k)
+    return (runs(h, k, lane)[at], at) if len(at) else (np.zeros(0, np.uint64), at)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; the session's batches are held to BATCH_BYTES from then on."""
+    """mapInArrow with a function of one batch.
+
+    The session's Arrow batches are held to BATCH_BYTES from then on: a frame is planned when it is
+    used, so the setting has to outlast this call.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key)) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
@@ -248,23 +248,42 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int) -> list:
-    """At most `bound` labelled (text, label) rows outside the held-out fold, taken in hash order of doc_id.
+#: Bytes of a text that may be in a labelled sample, and of all its texts, at most.
+SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 1 << 20, 64 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int, text_bytes: int = SAMPLE_TEXT_BYTES, all_bytes: int = SAMPLE_BYTES) -> list:
+    """At most `bound` labelled (text, label) rows outside the held-out fold, of at most `all_bytes` in all.
 
-    The sample is the only thing a classifier is fitted on, and its bound is a parameter. Rows whose
-    label or doc_id is null are not used; a doc_id with several rows or labels gives each of them.
+    The sample is the only thing a classifier is fitted on, and its bounds are parameters. Labels are
+    taken in hash order of doc_id, then their distinct texts in hash order as far as the bytes allow; a
+    text of more than `text_bytes` is not used for fitting. Rows whose label or doc_id is null are not
+    used; a doc_id with several texts or labels can give each of them. Ids may be of any type.
     """
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     few = (
-        labels.select("doc_id", F.col(label).alias("y"))
+        labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (key % folds != held))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(bound)
     )
-    ids = few.collect()  # bounded by the parameter
-    if not ids:
+    few = materialize(few, "labels")
+    mine = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
+    size = F.octet_length("text")
+    # `few` has at most `bound` rows; what reaches the driver here are numbers, `bound` rows at most
+    found = mine.where(size <= text_bytes).join(F.broadcast(few), "doc_id").groupBy("h", "y").agg(F.max(size).alias("size")).orderBy("h", "y").limit(bound).collect()
+    total, take = 0, []
+    for r in found:
+        if total + r["size"] <= all_bytes:
+            total += r["size"]
+            take.append((r.h, r.y))
+    release(few)
+    if not take:
         return []
-    spark = docs.sparkSession
-    small = spark.createDataFrame([(r.doc_id, int(r.y)) for r in ids], "doc_id long, y int")
-    got = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").orderBy("doc_id", "y", "text").limit(2 * bound).collect()
-    return [(r.text or "", r.y) for r in got]
+    small = docs.sparkSession.createDataFrame(take, "h long, y int")
+    got = mine.join(F.broadcast(small), "h").groupBy("h", "y").agg(F.first("text").alias("text")).collect()
+    return [(r.text, r.y) for r in sorted(got, key=lambda r: (r.h, r.y))]
+
+
+__all__ = ["keep", "materialize", "release", "scratch", "table"]

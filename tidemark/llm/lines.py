@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .core import Slice, labelled_sample, map_arrow, mix, slices, windows
+from .core import Slice, dictionary, inside, labelled_sample, map_arrow, slices
 
 #: Rows of the labelled sample that a model is fitted on, at most.
 SAMPLE_ROWS = 3000
@@ -68,14 +68,14 @@ def cut_lines(s: Slice) -> Lines:
         start = end = np.zeros(s.n, np.int64)
     first = np.searchsorted(s.start, start)
     last = np.searchsorted(s.start, end)
-    doc = np.repeat(np.arange(s.n, dtype=np.uint64), np.diff(loffs))
-    h = s.span_hash(start, np.maximum(start, end)) if len(s.data) else np.zeros(len(start), np.uint64)
-    key = mix(h + doc * np.uint64(0xD6E8FEB86659FD93))
-    order = np.argsort(key, kind="stable")
-    again = np.zeros(len(key), bool)
-    again[order[1:]] = key[order[1:]] == key[order[:-1]]
+    doc = np.repeat(np.arange(s.n), np.diff(loffs))
+    # equal lines by their bytes; a stable order keeps a document's lines in sequence
+    line, _ = dictionary(s.data[s.data != 10], np.maximum(end - start, 0))
+    order = np.argsort(line, kind="stable")
+    again = np.zeros(len(line), bool)
+    again[order[1:]] = (line[order[1:]] == line[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
     again &= last > first
-    return Lines(start, end, loffs, np.stack([first, last]), again, doc.astype(np.int64))
+    return Lines(start, end, loffs, np.stack([first, last]), again, doc)
 
 
 def base_counts(s: Slice, ln: Lines) -> dict[str, np.ndarray]:
@@ -98,12 +98,18 @@ def repeated_words(s: Slice) -> np.ndarray:
     flag = np.zeros(len(s.start), bool)
     if len(s.start) < 3:
         return flag
-    w, at = windows(s.word_hash(), s.woffs, 3)
-    key = mix(w + s.doc_of_word()[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    order = np.argsort(key)
-    k = key[order]
+    ids, words = s.word_ids()
+    at = inside(s.woffs, 3)
+    if len(words) < 1 << 21:
+        key = (ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:])[at]
+    else:
+        pair = np.unique(ids[:-1] << 31 | ids[1:], return_inverse=True)[1]
+        key = (pair[:-1] << 31 | ids[2:])[at]
+    doc = s.doc_of_word()[at]
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], doc[order]
     eq = np.zeros(len(k) + 1, bool)
-    eq[1:-1] = k[1:] == k[:-1]
+    eq[1:-1] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
     hit = at[order[eq[1:] | eq[:-1]]]
     for j in range(3):
         flag[hit + j] = True
@@ -123,7 +129,7 @@ def line_features(s: Slice, ln: Lines) -> np.ndarray:
 
     rep = np.zeros(len(s.start) + 1, np.int64)
     np.cumsum(repeated_words(s), out=rep[1:])
-    h = s.word_hash() if len(s.start) else np.zeros(0, np.uint64)
+    h = s.word_ids()[0] if len(s.start) else np.zeros(0, np.int64)
     same = np.zeros(len(h) + 1, np.int64)
     if len(h):
         np.cumsum(np.concatenate([[False], h[1:] == h[:-1]]), out=same[1:])

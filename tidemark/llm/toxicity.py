@@ -84,26 +84,27 @@ def tokens(s: Slice) -> list[np.ndarray]:
 def segments(pos: np.ndarray, w: np.ndarray, cost: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of one document; pos: indices of scored tokens, others cost `cost`.
 
-    The stack form of the linear-time algorithm: only scored tokens are visited, gaps enter as their summed cost.
+    Linear time: only scored tokens are visited, gaps enter as their summed cost, and each segment keeps a link to the
+    last one before it that starts at a lower sum, so segments that start higher are passed over at once.
     """
-    out: list[tuple[float, float, int, int]] = []  # left cumulative, right cumulative, first, last
+    out: list[tuple[float, float, int, int, int]] = []  # left sum, right sum, first, last, link
     cum, prev = 0.0, -1
     for p, x in zip(pos.tolist(), w.tolist(), strict=True):
         cum -= cost * (p - prev - 1)
         left, cum, prev = cum, cum + x, p
         if x <= 0:
             continue
-        cur = (left, cum, p, p)
+        first, j = p, len(out) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][0] >= cur[0]:
-                j -= 1
-            if j < 0 or out[j][1] >= cur[1]:
+            while j >= 0 and out[j][0] >= left:
+                j = out[j][4]
+            if j < 0 or out[j][1] >= cum:
                 break
-            cur = (out[j][0], cur[1], out[j][2], cur[3])
+            left, _, first, _, link = out[j]
             del out[j:]
-        out.append(cur)
-    return [(a, b, r - lo) for lo, r, a, b in out]
+            j = link
+        out.append((left, cum, first, p, j))
+    return [(a, b, r - lo) for lo, r, a, b, _ in out]
 
 
 def _lookup(model_keys: np.ndarray, weights: np.ndarray, h: np.ndarray) -> np.ndarray:
