@@ -328,7 +328,7 @@ def luhn(s):
 def test_pii(spark, docs, none):
     cases = ["a.b9@x.com", "10.0.0.1", "4111 1111 1111 1111", "4111111111111112", "2020-02-29", "2020-02-30", "31/12/1999", "GB82 WEST 1234 5698 7654 32", "123-45-6789", "+1 (974) 555-3436", "", None, "999.1.1.1", "@ 1"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(cases * 2)], "n int, text string, _pii0 int")
-    got = {r.n: r.text for r in pii.pseudonymise(df, count_col="k").collect()}
+    got = {r.n: r.text for r in pii.pseudonymise(df, "k", count_col="k").collect()}
     stay = {3, 5, 10, 11, 12, 13}
     for i, t in enumerate(cases):
         assert got[i] == got[i + len(cases)] and (got[i] == t) == (i in stay)
@@ -337,10 +337,10 @@ def test_pii(spark, docs, none):
     assert luhn(got[2]) and int(re.sub(r"\D", "", "".join(str(int(c, 36)) for c in re.sub(" ", "", got[7])[4:] + re.sub(" ", "", got[7])[:4]))) % 97 == 1
     # a permutation: different values stay different
     many = spark.range(5000).select(F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit("@x.org")).alias("text"))
-    assert pii.pseudonymise(many).distinct().count() == 5000
+    assert pii.pseudonymise(many, "k").distinct().count() == 5000
     days = spark.range(3000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
-    assert pii.pseudonymise(days).distinct().count() == 3000
-    assert pii.pseudonymise(docs).columns == docs.columns and pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(days, "k").distinct().count() == 3000
+    assert pii.pseudonymise(docs, "k").columns == docs.columns and pii.pseudonymise(none, "k").count() == 0
 
 
 def test_pii_beside_digits_and_capitals(spark):
@@ -355,7 +355,7 @@ def test_pii_beside_digits_and_capitals(spark):
     ]
     stay = re.compile(r" \d{1,4}(/26| EUR)?|12(345)? |[ -]12a4?|EUR| (EUR|BIC|PAID NOW)|AB12 CDEF GHIJ | |13/31/1999|4111 1111 1111 1112 123")
     df = spark.createDataFrame([(i, f"x: {''.join(c)}.") for i, c in enumerate(cases)], "n int, text string")
-    for r in pii.pseudonymise(df).collect():
+    for r in pii.pseudonymise(df, "k").collect():
         at = 3
         for part in cases[r.n]:
             got = r.text[at : at + len(part)] if part != "10.0.0.1" else r.text[at:-1]
@@ -364,9 +364,9 @@ def test_pii_beside_digits_and_capitals(spark):
             assert part not in (be, de) or int("".join(str(int(c, 36)) for c in (got[4:] + got[:4]).replace(" ", ""))) % 97 == 1
             at += len(got)
     long = " ".join(str(i % 97) for i in range(20000)) + " " + card
-    assert not pii.pseudonymise(spark.createDataFrame([(long,)], "text string")).first().text.endswith(card)
+    assert not pii.pseudonymise(spark.createDataFrame([(long,)], "text string"), "k").first().text.endswith(card)
     first = spark.range(6000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12")
-    us = pii.pseudonymise(first.select(F.date_format("d", "MM/dd/yyyy").alias("text")))
+    us = pii.pseudonymise(first.select(F.date_format("d", "MM/dd/yyyy").alias("text")), "k")
     assert us.distinct().count() == first.count() and us.where("int(substr(text, 4, 2)) <= 12").count() == 0
 
 

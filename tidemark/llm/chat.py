@@ -14,7 +14,8 @@ Defined results: null or malformed arguments are invalid and serialised as null;
 a call without result has linked false, a result without call is kept as an
 orphan; of several results with one id the earliest counts as the link and all
 are kept; of repeated calls with one id each is linked; calls in a reference
-cycle have a null level; null ids never link; extra columns are ignored.
+cycle, and those above one, have a null level; null ids never link; calls of
+a null turn sort first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import materialize, release
+from .core import keep, materialize, release, scratch
 
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
 
@@ -75,29 +76,56 @@ def validate(calls: DataFrame, schema: dict[str, dict[str, tuple[str, bool]]]) -
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """Adds `level`: 0 for a call that refers to none, else one more than the highest it refers to; null in cycles."""
+    """Adds `level`: 0 for a call that refers to none, else one more than the highest it refers to; null in cycles and above them.
+
+    The reference graph is contracted by rounds: a reference to a call without open references is settled, one to a call
+    with a single open reference skips that call. A chain of d references takes log2(d) rounds, every round three jobs.
+    """
+    with scratch():
+        found = _levels(calls)
+        if found is None:
+            return calls.withColumn("level", F.lit(0))
+        keep(found)
+    # a call that neither refers nor is referred to takes no part
+    state = found.withColumn("_in", F.lit(True))
+    return calls.join(state, ["conv_id", "call_id"], "left").withColumn("level", F.when(F.col("_in"), F.col("level")).otherwise(0)).drop("_in")
+
+
+def _levels(calls: DataFrame) -> DataFrame | None:
     refs = F.regexp_extract_all("arguments", F.lit(r'\{\s*"\$ref"\s*:\s*"([^"]*)"\s*\}'), F.lit(1))
     edges = calls.where(F.col("arguments").contains('"$ref"')).select("conv_id", "call_id", F.explode(refs).alias("to")).where("call_id is not null").distinct()
     known = calls.select("conv_id", F.col("call_id").alias("to")).distinct()
-    edges = materialize(edges.join(known, ["conv_id", "to"], "left_semi"), "refs")
+    edges = materialize(edges.join(known, ["conv_id", "to"], "left_semi").select("conv_id", "call_id", "to", F.lit(1).cast("long").alias("w"), F.lit(True).alias("moved")), "refs")
     if edges.isEmpty():
-        return calls.withColumn("level", F.lit(0))
-    # only calls that refer to something, or are referred to, take part
+        return None
     nodes = edges.select("conv_id", "call_id").unionByName(edges.select("conv_id", F.col("to").alias("call_id"))).distinct()
-    done = materialize(nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    base = materialize(nodes.withColumn("level", F.lit(0).cast("long")), "levels")
+    # a path of more steps than there are calls goes round a cycle
+    most, endless, left = base.count(), 1 << 40, -1
     while True:
-        over = edges.join(done.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left").groupBy("conv_id", "call_id").agg(
-            F.max("level").alias("top"), F.count_if(F.col("level").isNull()).alias("open")
-        )
-        ready = over.where("open = 0").select("conv_id", "call_id", (F.col("top") + 1).alias("level")).join(done, ["conv_id", "call_id"], "left_anti")
-        ready = materialize(ready, "levels")
-        if ready.isEmpty():
+        state = edges.agg(F.count("*").alias("n"), F.max("moved").alias("moved")).first()
+        if not state.n:
             break
-        done, old = materialize(done.unionByName(ready), "levels"), done
-        release(old)
-    # a node that takes part and never became ready is in, or behind, a cycle
-    state = nodes.join(done, ["conv_id", "call_id"], "left").withColumn("_in", F.lit(True))
-    return calls.join(state, ["conv_id", "call_id"], "left").withColumn("level", F.when(F.col("_in"), F.col("level")).otherwise(0)).drop("_in")
+        # where every open reference leads to a call with several, all of them lead into cycles
+        stuck = state.n == left and not state.moved
+        out = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.max("to").alias("next"), F.max("w").alias("step"))
+        via = out.join(base, ["conv_id", "call_id"], "right").withColumnsRenamed({"call_id": "to", "level": "far"})
+        over = edges.join(via, ["conv_id", "to"])
+        round_ = F.lit(True) if stuck else (F.col("call_id") == F.col("to")) | (F.col("w") > most)
+        gain = F.when(round_, endless).otherwise(F.least(F.lit(endless), F.col("far") + F.col("w")))
+        over = materialize(over.withColumn("cycle", round_).withColumn("gain", gain), "over")
+        raised = over.groupBy("conv_id", "call_id").agg(F.max("gain").alias("gain"))
+        old_base, old_edges = base, edges
+        base = materialize(base.join(raised, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("level", F.coalesce("gain", "level")).alias("level")), "levels")
+        single = F.col("n") == 1
+        going = over.where("n is not null and not cycle").select(
+            "conv_id", "call_id", F.when(single, F.col("next")).otherwise(F.col("to")).alias("to"), (F.col("w") + F.when(single, F.col("step")).otherwise(0)).alias("w"), single.alias("moved")
+        )
+        edges = materialize(going.groupBy("conv_id", "call_id", "to").agg(F.max("w").alias("w"), F.max("moved").alias("moved")), "refs")
+        left = state.n
+        for old in (old_base, old_edges, over):
+            release(old)
+    return materialize(base.select("conv_id", "call_id", F.when(F.col("level") < endless, F.col("level").cast("int")).alias("level")), "levels")
 
 
 def link(calls: DataFrame, results: DataFrame, schema: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:

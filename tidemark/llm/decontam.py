@@ -15,7 +15,10 @@ needed. Items of fewer words than the first mask has, if there are any, get a
 mask of their own length.
 
 The seeds of the benchmark are counted first: up to BROADCAST_SEEDS they are
-broadcast, beyond that both sides are shuffled by seed.
+broadcast, beyond that both sides are shuffled by seed. The alignments that the
+seeds give are stored and counted: up to BROADCAST_LINES they are broadcast to
+the documents, whose texts then are not shuffled and are cut into words anew only
+where there is an alignment; beyond that the texts are shuffled.
 
 Defined results: null and empty texts or items match nothing; repeated items
 count once per item_id and text; repeated documents each get their overlaps;
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import free_name, with_row_key
+from .core import free_name, materialize, with_row_key
 
 # Items below SPAN words have to match whole; the selected positions of each mask.
 SPAN = 10
@@ -37,6 +40,8 @@ PENALTY = 2
 LEAST = 12
 #: Benchmark seeds that are broadcast, at most (about 50 MB); more are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
+#: Alignments (document, item, shift) that are broadcast, at most (about 50 MB).
+BROADCAST_LINES = 1_000_000
 
 
 def word_hashes(text: str) -> Column:
@@ -64,15 +69,19 @@ def _with_seeds(df: DataFrame, keep: list[str], masks: tuple[tuple[int, ...], ..
 
 def find_overlaps(docs: DataFrame, bench: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document id and item that overlap: doc id, item id, score, words matched of the item, item's words, first word in the document."""
-    items = bench.select(F.col(item_col).alias("item"), F.col(item_text).alias("_t")).where("_t is not null").distinct().withColumn("_h", word_hashes("_t")).select("item", "_h")
+    items = bench.select(F.col(item_col).alias("item"), F.col(item_text).alias("_t")).where("_t is not null").distinct().withColumn("_h", word_hashes("_t")).select("item", "_h").where(F.size("_h") > 0)
     short = items.select(F.size("_h").alias("n")).where(F.col("n").between(1, len(MASKS[0]) - 1)).distinct().collect()
     masks = (*MASKS, *(tuple(range(r.n)) for r in short))
     item_seeds = _with_seeds(items, ["item"], masks).select("item", F.col("pos").alias("q"), "seed")
     small = item_seeds.count() <= BROADCAST_SEEDS
-    hashed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).where("_t is not null").withColumn("_h", word_hashes("_t")).select("id", "_h")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).where("_t is not null")
+    hashed = texts.withColumn("_h", word_hashes("_t")).select("id", "_h")
     hits = _with_seeds(hashed, ["id"], masks).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
-    lines = hits.select("id", "item", (F.col("pos") - F.col("q")).alias("shift")).distinct()
-    both = hashed.withColumnRenamed("_h", "dh").join(lines, hashed["id"].eqNullSafe(lines["id"])).drop(lines["id"])
+    lines = materialize(hits.select("id", "item", (F.col("pos") - F.col("q")).alias("shift")).distinct(), "lines")
+    few = lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    both = texts.join(F.broadcast(lines) if few else lines, texts["id"].eqNullSafe(lines["id"])).drop(lines["id"])
+    both = both.withColumn("dh", word_hashes("_t")).drop("_t")
+    # an item has at least one seed for four words, so few seeds are few and short items
     other = items.withColumnRenamed("_h", "ih").withColumnRenamed("item", "item2")
     both = both.join(F.broadcast(other) if small else other, F.col("item").eqNullSafe(F.col("item2"))).drop("item2")
     lo = F.greatest(F.lit(0), -F.col("shift"))

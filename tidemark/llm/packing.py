@@ -8,12 +8,15 @@ fullest group of open sequences they fit, a group being any number of sequences
 of equal filling. The plan is a list of slot ranges per length; a piece takes
 the slot of its rank within its length.
 
-A rank is counted within (length, salt), a salt being a hash of the piece's
-document, and shifted by the counts of the smaller salts, so a length that many
-pieces share is ranked by many tasks.
+A rank is counted within (length, salt) and shifted by the counts of the smaller
+salts. The salt is a running number of the stored pieces, whatever they hold, so
+pieces of one length are ranked by many tasks even if they are all alike; a
+length has SALTS salts, and more if each would rank over SALT_ROWS pieces.
 
 Defined results: a null or empty text is one piece of the end id; repeated rows
-each get slots of their own; null ids are kept; extra columns are ignored.
+each get slots of their own; null ids are kept; extra columns are ignored. Pieces
+of one length take that length's slots in any order: which one takes which may
+differ between runs, sequences and their fillings do not.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import map_arrow, materialize, release
+from .core import map_arrow, materialize
 
 CAPACITY = 2048
 END_ID = 0
 SALTS = 64
+SALT_ROWS = 1 << 20
 #: Pieces of text whose ids a Python worker remembers, at most.
 CACHE = 100_000
 
@@ -117,12 +121,12 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32 and the row's salt."""
+    """One row per piece: id, piece, start, length, ids_crc32 and a running number as salt; to be stored before the salt is used."""
     kind = docs.schema[id_col].dataType.simpleString()
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(b: pa.RecordBatch):
-        encode = encoder(vocabulary)
+        encode, number = encoder(vocabulary), 0
         texts = b.column(1).to_pylist()
         for lo in range(0, len(texts), 500):
             row, piece, start, length, crc, salt = [], [], [], [], [], []
@@ -130,15 +134,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
                 ids += tail
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                # the salt follows from the content, so a task that runs again deals the same
-                key = zlib.crc32(ids) % SALTS
                 for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     row.append(i)
                     piece.append(k)
                     start.append(a)
                     length.append(z - a)
                     crc.append(zlib.crc32(memoryview(ids)[4 * a : 4 * z]))
-                    salt.append(key)
+                    salt.append(number & 0x7FFFFFFF)
+                    number += 1
             yield pa.record_batch(
                 [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(salt, pa.int32())],
                 ["id", "piece", "start", "length", "ids_crc32", "salt"],
@@ -187,15 +190,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (length and salt given). `pieces` is read twice, so it should be stored."""
     spark = pieces.sparkSession
-    # bounded: at most capacity x SALTS counts
+    # bounded: at most capacity counts
+    total = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
+    salts = F.broadcast(spark.createDataFrame([(k, max(SALTS, -(-n // SALT_ROWS))) for k, n in total.items()], "length long, _s int"))
+    pieces = pieces.join(salts, "length").withColumn("salt", F.pmod("salt", "_s")).drop("_s")
+    # bounded: at most capacity x SALTS counts, and one for SALT_ROWS pieces
     rows = pieces.groupBy("length", "salt").count().collect()
-    total: Counter = Counter()
+    before: Counter = Counter()
     shift = []
     for r in sorted(rows, key=lambda r: (r.length, r.salt)):
-        shift.append((r.length, r.salt, total[r.length]))
-        total[r.length] += r["count"]
+        shift.append((r.length, r.salt, before[r.length]))
+        before[r.length] += r["count"]
     ranges = plan(total, capacity)
-    # both tables are bounded by capacity and SALTS, not by the input
+    # the plan has a range for each group that a length meets, bounded by capacity, not by counts
     shifts = spark.createDataFrame(shift, "length long, salt int, shift long")
     starts: dict[int, list] = {}
     for length, rank, n, first, offset in ranges:

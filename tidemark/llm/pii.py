@@ -1,15 +1,18 @@
 """PII pseudonyms by format-preserving Feistel permutations, in DataFrame functions only.
 
 One expression finds candidates; each is validated (Luhn, ISO 7064 mod 97,
-octet ranges, calendar dates) and replaced within its own format. A keyed
+octet ranges, calendar dates, the blocks in which social security numbers and
+local phone numbers are given out; a + number by its 8 to 15 digits) and replaced within its own format. A keyed
 alternating Feistel network runs over the candidate's symbols, each with its own
-radix (10 for digits, 26 for letters of either case, 256 for octets), its round
+radix (10 for digits, 26 for letters of either case, 256 for octets; letters of
+Latin-1 move among their like, others among their 16 code points), its round
 function being SHA-256 of key, kind, round, position and the other half. It is a
 permutation per format, so equal values get equal pseudonyms in every document
 and different values stay different. Check digits are computed anew, so a valid
 number stays valid. Dates permute among DAYS days from EPOCH on, dates before
 and after within their own span of DAYS days; a date that is valid only with the
-month first gets another such date.
+month first gets another such date. Where a permuted value would not be valid it
+is permuted again, which keeps the whole a permutation of the valid values.
 
 A card candidate is a whole run of digit groups; every valid number of 13 to 19
 digits made of whole groups is replaced in it, from the left, the longest first.
@@ -52,8 +55,10 @@ EPOCH, SIDES = "1900-01-01", (292, 250)
 DAYS = SIDES[0] * SIDES[1]
 #: Turns of a date's permutation, at most, until the result has the date's own form; about two in five turns miss it with the month first.
 TURNS = 64
+# Numbers that are given out.
+VALID_SSN = r"^(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$"
+VALID_LOCAL_PHONE = r"^\(?[2-9]\d{2}[) .-]{1,2}[2-9]\d{2}[ .-]\d{4}$"
 ROUNDS = 6
-DEFAULT_KEY = "tidemark"
 
 
 def _draw(key: str, kind: str, rnd: Column, place: Column, other: Column, radix: Column) -> Column:
@@ -83,25 +88,38 @@ def _chars(m: Column) -> Column:
     return F.split(m, "")
 
 
-def _base(c: Column) -> Column:
-    """Code point that a symbol of c's class counts from; null for characters that stay."""
-    return F.when(c.rlike("^[0-9]$"), 48).when(c.rlike("^[a-z]$"), 97).when(c.rlike("^[A-Z]$"), 65)
+def _class(c: Column) -> Column:
+    """(first code point, number of code points) of the symbols that c moves among; null for characters that stay."""
+    at = F.ascii(c)
+    one = lambda lo, hi: F.struct(F.lit(lo).alias("base"), F.lit(hi - lo + 1).alias("size"))
+    out = F.when(at.between(48, 57), one(48, 57)).when(at.between(97, 122), one(97, 122)).when(at.between(65, 90), one(65, 90))
+    for lo, hi in ((0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF)):
+        out = out.when(at.between(lo, hi), one(lo, hi))
+    return out.when((at > 0xFF) & c.rlike(r"^[\p{L}\p{N}]$"), F.struct((at - at % 16).alias("base"), F.lit(16).alias("size")))
+
+
+def _char(point: Column) -> Column:
+    return F.when(point < 128, F.char(point)).otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
 
 
 def _letters(m: Column, key: str, kind: str) -> Column:
-    """m with its ASCII letters and digits permuted within their classes."""
-    cs = _chars(m)
-    live = F.filter(cs, lambda c: _base(c).isNotNull())
-    sym = F.transform(live, lambda c: F.ascii(c) - _base(c))
-    rad = F.transform(live, lambda c: F.when(_base(c) == 48, 10).otherwise(26))
-    out = _feistel(sym, rad, key, kind)
+    """m with its letters and digits permuted within their classes."""
+    cs = F.transform(_chars(m), lambda c: F.struct(c.alias("c"), _class(c).alias("k")))
+    live = F.filter(cs, lambda x: x["k"].isNotNull())
+    out = _feistel(F.transform(live, lambda x: F.ascii(x["c"]) - x["k"]["base"]), F.transform(live, lambda x: x["k"]["size"]), key, kind)
+
+    def put(st: Column, x: Column) -> Column:
+        moves = x["k"].isNotNull()
+        new = _char(F.get(st["o"], st["i"]) + x["k"]["base"])
+        return F.struct(F.concat(st["t"], F.when(moves, new).otherwise(x["c"])).alias("t"), (st["i"] + moves.cast("int")).alias("i"), st["o"].alias("o"))
 
-    def put(st: Column, c: Column) -> Column:
-        moves = _base(c).isNotNull()
-        new = F.char(F.get(st["o"], st["k"]) + _base(c))
-        return F.struct(F.concat(st["t"], F.when(moves, new).otherwise(c)).alias("t"), (st["k"] + moves.cast("int")).alias("k"), st["o"].alias("o"))
+    return F.aggregate(cs, F.struct(F.lit("").alias("t"), F.lit(0).alias("i"), out.alias("o")), put, lambda st: st["t"])
 
-    return F.aggregate(cs, F.struct(F.lit("").alias("t"), F.lit(0).alias("k"), out.alias("o")), put, lambda st: st["t"])
+
+def _among(m: Column, valid: str, key: str, kind: str) -> Column:
+    """m, which matches `valid`, permuted until it does again; m itself if it doesn't."""
+    turn = lambda st, i: F.when((i > 0) & st.rlike(valid), st).otherwise(_letters(st, key, kind))
+    return F.when(m.rlike(valid), F.aggregate(F.sequence(F.lit(0), F.lit(TURNS - 1)), m, turn)).otherwise(m)
 
 
 def _luhn_sum(digits: Column, doubled_from_last: int) -> Column:
@@ -208,7 +226,7 @@ def _cards_within(m: Column, key: str) -> Column:
     return F.concat_ws("", F.zip_with(F.split(m, CARD, -1), runs, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))))
 
 
-def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one candidate, or the candidate itself where it is not valid."""
     whole = lambda rx: m.rlike(f"^(?:{rx})$")
     tld = F.regexp_extract(m, r"\.[^.]*$", 0)
@@ -219,14 +237,19 @@ def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
         .when(whole(r"\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}"), _date(m, key))
         .when(m.rlike("^[A-Z]") & (_mod97(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))) == 1), _iban(m, key))
         .when(m.startswith("+"), F.concat(F.regexp_extract(m, r"^\+\d{1,3}", 0), _letters(F.regexp_replace(m, r"^\+\d{1,3}", ""), key, "phone")))
-        .when(whole(r"\d{3}-\d\d-\d{4}"), _letters(m, key, "ssn"))
-        .when(whole(LOCAL_PHONE), _letters(m, key, "phone"))
+        .when(whole(r"\d{3}-\d\d-\d{4}"), _among(m, VALID_SSN, key, "ssn"))
+        .when(whole(LOCAL_PHONE), _among(m, VALID_LOCAL_PHONE, key, "phone"))
         .otherwise(_cards_within(m, key))
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with personal data in text_col replaced; count_col, if named, gets the number of replaced values."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with personal data in text_col replaced; count_col, if named, gets the number of replaced values.
+
+    Who has the key can turn pseudonyms back, so it is the caller's to give and to guard.
+    """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))
     new = F.transform(found, lambda m: pseudonym(m, key))

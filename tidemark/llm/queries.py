@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from . import chat, decontam, lines, neardup, packing, pii, quality, secrets, substrings, toxicity
 from .core import table
 
-#: In op1, a user or system turn is a call for a reply and an assistant turn is the result of the turn before it.
-CHAT_SCHEMA = {"user": {"text": ("string", True), "turn": ("integer", True)}, "system": {"text": ("string", True), "turn": ("integer", True)}}
+#: In op1, a plain turn that is not the assistant's is a call for a reply; it refers to the call two turns before it.
+CHAT_SCHEMA = {role: {"after": ("object", False), "text": ("string", True), "turn": ("integer", True)} for role in ("user", "system")}
+#: Key of op4's pseudonyms where spark.tidemark.pii.key is unset: public, for results that can be repeated, not for use.
+PII_KEY = "public-example-key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.tidemark.pii.key", PII_KEY)
 
 
 def held_out(folds: int, fold: int) -> Column:
@@ -17,12 +23,20 @@ def held_out(folds: int, fold: int) -> Column:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls and results as they are marked up, and plain turns read as calls and results.
+
+    A plain turn that is not the assistant's, a null role included, is a call "t<turn>"; the assistant's plain turn is
+    the result of the call of the turn before.
+    """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    calls = turns.where("role <> 'assistant'").select(
-        "conv_id", "turn", F.col("turn").cast("string").alias("call_id"), F.col("role").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments")
-    )
-    results = turns.where("role = 'assistant'").select("conv_id", "turn", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
-    out = chat.link(calls, results, CHAT_SCHEMA)
+    marked_calls, marked_results = chat.parse_calls(turns)
+    mine = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    marked = (mine & F.coalesce(F.col("text").contains("<tool_call>"), F.lit(False))) | F.coalesce(F.col("role") == "tool", F.lit(False))
+    name = lambda back: F.concat(F.lit("t"), (F.col("turn") - back).cast("string"))
+    after = F.struct(name(2).alias("$ref"))
+    calls = turns.where(~mine & ~marked).select("conv_id", "turn", name(0).alias("call_id"), F.col("role").alias("name"), F.to_json(F.struct("turn", "text", after.alias("after"))).alias("arguments"))
+    results = turns.where(mine & ~marked).select("conv_id", "turn", name(1).alias("call_id"), F.col("text").alias("content"))
+    out = chat.link(calls.unionByName(marked_calls), results.unionByName(marked_results), CHAT_SCHEMA)
     return out.select("conv_id", F.col("level").cast("int"), F.col("turn").cast("long"), F.col("step").cast("int"), "call_id", "linked", "valid", "record")
 
 
@@ -38,7 +52,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark), count_col="n_replaced")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

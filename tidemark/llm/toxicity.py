@@ -11,7 +11,7 @@ segment's score S among n tokens has the extreme-value probability
 text and K is fitted to clean documents' best segments. Segments below
 `p_segment` are toxic passages. The document's evidence, minus the log of the
 product of their probabilities, passes a two-parameter logistic fitted on the
-sample. All work on scoring text is on whole texts.
+sample, in which the rarer label weighs more by the root of its rarity. All work on scoring text is on whole texts.
 
 Defined results: null and empty texts have no segments and get the score of no
 evidence; repeated rows each give a row; extra columns are ignored.
@@ -218,10 +218,12 @@ def fit(rows: list[tuple[str, int]], z_least: float = 3.0, cost: float = 0.03, p
     x = np.array([evidence(sg, n, m)[0] for sg, n in zip(segs_of, length_.tolist(), strict=True)])
     x = np.log1p(x)
     w, c = 1.0, -1.0
+    # a label weighs by the root of its rarity, between the sample's own odds and even ones
+    share = np.sqrt(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
     for _ in range(200):  # Newton steps of a ridge logistic
         q = 1 / (1 + np.exp(-np.clip(w * x + c, -30, 30)))
-        g = np.array([np.sum((q - y) * x) + 1e-2 * w, np.sum(q - y) + 1e-2 * c])
-        r = q * (1 - q) + 1e-9
+        g = np.array([np.sum(share * (q - y) * x) + 1e-2 * w, np.sum(share * (q - y)) + 1e-2 * c])
+        r = share * q * (1 - q) + 1e-9
         hess = np.array([[np.sum(r * x * x) + 1e-2, np.sum(r * x)], [np.sum(r * x), np.sum(r) + 1e-2]])
         step = np.linalg.solve(hess, g)
         w, c = w - step[0], c - step[1]
