@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; run() writes each stage's rows as Parquet and rereads them.
+
+Every row is judged by itself: rows of null or repeated ids, null and empty texts
+and repeated rows are defined in each stage. No stage but near-dedup drops a null
+or empty text; of equal rows near-dedup keeps one, of texts without a word all.
+Extra columns of documents go through to the last stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontam, neardup, packing, pii, toxicity
-from tidemark.llm.core import materialize, release, table
+from tidemark.llm.core import keep, materialize, release, scratch, table
+from tidemark.llm.queries import pii_key
 
 TOXIC_AT = 0.7
 
@@ -30,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pseudonymise_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pii_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     last = None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():  # what a stage stores on its way goes when its rows are written
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
         if last is not None:
             release(last)
         last = docs
