@@ -2,11 +2,11 @@
 windows over Arrow string batches, row keys, and the labelled sample.
 
 Words are runs of bytes other than the six ASCII white-space characters. They
-are found for a whole slice of documents at once with numpy. Equal words of a
-slice are found by their bytes (a dictionary); only distinct words are hashed
-in Python, with 128 bits of BLAKE2b, so that different words have different keys
-whatever they are made of. Keys of runs of words are combined by a tree of
-non-linear steps.
+are found for a whole slice of documents at once with numpy. A word has 128 bits
+of keys: up to 16 bytes one-to-one, longer ones by BLAKE2b of the slice's
+distinct words, so that different words have different keys whatever they are
+made of. Keys of runs of words are combined by a tree of non-linear steps. Where
+only one slice is looked at, words and lines are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
+#: Masks of the first 0 to 8 bytes of eight.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -135,10 +137,29 @@ class Slice:
         return self._ids[lower]
 
     def word_keys(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit keys of each word, equal for equal words in every slice."""
-        ids, words = self.word_ids(lower)
-        keys = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in words.to_pylist()), np.uint64).reshape(-1, 2)
-        return keys[ids, 0], keys[ids, 1]
+        """Two 64-bit keys of each word, equal for equal words in every slice.
+
+        Words of up to 16 bytes of one length map one-to-one onto pairs of keys; longer ones get 128 bits of BLAKE2b.
+        """
+        if ("keys", lower) not in self._ids:
+            data = np.zeros(len(self.data) + 16, np.uint8)
+            data[:-16] = LOWER[self.data] if lower else self.data
+            size = self.end - self.start
+            eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # eight bytes from any byte on
+            low = eight[self.start] & _FIRST[np.minimum(size, 8)]
+            high = eight[np.minimum(self.start + 8, len(data) - 8)] & _FIRST[np.clip(size - 8, 0, 8)]
+            a = mix(low + size.astype(np.uint64) * np.uint64(_MULT) + mix(high ^ np.uint64(0x8EBC6AF09C88C6E3)))
+            b = mix(high + mix(a ^ np.uint64(0x589965CC75374CC3)))
+            long = np.flatnonzero(size > 16)
+            if len(long):
+                mark = np.zeros(len(data), np.int8)
+                mark[self.start[long]] = 1
+                np.subtract.at(mark, self.end[long], 1)
+                ids, words = dictionary(data[np.cumsum(mark, dtype=np.int8) > 0], size[long])
+                keys = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in words.to_pylist()), np.uint64).reshape(-1, 2)
+                a[long], b[long] = keys[ids, 0], keys[ids, 1]
+            self._ids["keys", lower] = a, b
+        return self._ids["keys", lower]
 
     def word_hash(self, lower: bool = False) -> np.ndarray:
         return self.word_keys(lower)[0]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import Slice, free_name, inside, map_arrow, partitions, runs, slices, with_row_key
+from .core import SPACE, Slice, free_name, inside, map_arrow, partitions, runs, slices, with_row_key
 
 WINDOW = 35
 GRAM = 8
@@ -143,20 +143,13 @@ class Words:
         data = np.full(int(self.at[-1]), 32, np.uint8)
         hole = np.ones(len(data), bool)
         hole[self.at[1:] - 1] = False
-        data[hole] = np.concatenate([np.zeros(0, np.uint8), *(s.data[_in_words(s)] for s in parts)])
+        data[hole] = np.concatenate([np.zeros(0, np.uint8), *(s.data[~SPACE[s.data]] for s in parts)])
         self.data = data.tobytes()
 
     def stretch(self, first: int, words: int) -> bytes:
         return self.data[self.at[first] : self.at[first + words] - 1]
 
 
-def _in_words(s: Slice) -> np.ndarray:
-    mark = np.zeros(len(s.data) + 1, np.int8)
-    np.add.at(mark, s.start, 1)
-    np.subtract.at(mark, s.end, 1)
-    return np.cumsum(mark[:-1], dtype=np.int8) > 0
-
-
 def verified(mine: bytes, other: bytes, first: int, window: int) -> list[tuple[int, int]]:
     """(first word, words) of the stretches of at least `window` words that are equal in two texts of as many words."""
     if mine == other:
