@@ -35,7 +35,8 @@ def rewrite_prefix(path: Column, old: Column, new: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, r"\\"), -1)
+    """The last segment; a separator at the end does not count."""
+    return F.element_at(F.split(F.regexp_replace(path, r"\\$", ""), r"\\"), -1)
 
 
 def ancestors(path: Column) -> Column:

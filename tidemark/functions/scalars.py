@@ -69,8 +69,8 @@ def humanize_duration(seconds: Column) -> Column:
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     fine = F.regexp_replace(F.format_string("%.2f", F.round(seconds, 2)), "0$", "")
     return (
-        F.when(seconds < 10, F.concat(fine, F.lit(" s")))
-        .when(seconds < 60, F.concat(F.round(seconds).cast("long").cast("string"), F.lit(" s")))
+        F.when(seconds < 10, F.concat(fine, F.lit("s")))
+        .when(seconds < 60, F.concat(F.round(seconds).cast("long").cast("string"), F.lit("s")))
         .when(seconds < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit("m "), two(s % 60), F.lit("s")))
         .otherwise(F.concat(F.floor(s / 3600).cast("string"), F.lit("h "), two(F.floor(s % 3600 / 60)), F.lit("m "), two(s % 60), F.lit("s")))
     )
@@ -78,7 +78,3 @@ def humanize_duration(seconds: Column) -> Column:
 
 def flatten_lines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n|[\r\n]", " ")
-
-
-def positive_delta(after: Column, before: Column) -> Column:
-    return F.greatest(after - before, F.lit(0))

@@ -50,9 +50,14 @@ def diff(prev: DataFrame, curr: DataFrame, ts: Column | None = None) -> DataFram
     )
 
 
-def baseline(curr: DataFrame, ts: Column | None = None) -> DataFrame:
-    """One event per root with its number of files, for roots that were never scanned."""
+def baseline(curr: DataFrame, ts: Column | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """One event per root with its number of files, for roots that were never scanned.
+
+    roots (root): those that were scanned now; one without files gets files 0. Without it, the roots that curr has.
+    """
     n = curr.groupBy("root").agg(F.count("*").alias("files"))
+    if roots is not None:
+        n = roots.select("root").distinct().join(n, "root", "left").select("root", F.coalesce("files", F.lit(0)).alias("files"))
     null = {"path": "string", "size": "long", "mtime": "long", "prev_size": "long", "prev_mtime": "long"}
     return n.select(
         (ts if ts is not None else F.lit(None).cast("timestamp")).alias("ts"), "root", F.lit("baseline").alias("type"), *(F.lit(None).cast(t).alias(c) for c, t in null.items()), "files"
@@ -78,8 +83,16 @@ def preserve_failed(prev: DataFrame, curr: DataFrame, failed: DataFrame) -> Data
     return below.join(have, ["root", "_k"], "left_anti").drop("_k")
 
 
-def poll(prev: DataFrame, curr: DataFrame, failed: DataFrame, scanned: DataFrame, ts: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, new snapshot) of one poll. scanned: roots with an earlier scan, an empty one included.
+def preserved_counts(prev: DataFrame, curr: DataFrame, failed: DataFrame) -> DataFrame:
+    """Per root, the directories that could not be listed and the earlier rows that are kept for them."""
+    bad = failed.where("dir <> '.'")
+    kept = preserve_failed(prev, curr, bad).groupBy("root").agg(F.count("*").alias("kept"))
+    n = bad.groupBy("root").agg(F.count("*").alias("failed_dirs"))
+    return n.join(kept, "root", "left").select("root", "failed_dirs", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
+def poll(prev: DataFrame, curr: DataFrame, failed: DataFrame, scanned: DataFrame, ts: Column | None = None, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, new snapshot) of one poll. scanned: roots with an earlier scan, an empty one included; roots: those polled now.
 
     Roots whose own enumeration failed ('.') give no events and keep their snapshot; other failed
     directories keep their rows; roots without an earlier scan give one baseline event.
@@ -88,7 +101,9 @@ def poll(prev: DataFrame, curr: DataFrame, failed: DataFrame, scanned: DataFrame
     live = curr.join(dead, "root", "left_anti")
     old = prev.join(dead, "root", "left_anti")
     full = live.unionByName(preserve_failed(old, live, failed.where("dir <> '.'")))
-    events = diff(old, full.join(scanned, "root", "left_semi"), ts).unionByName(baseline(full.join(scanned, "root", "left_anti"), ts))
+    polled = roots if roots is not None else full.select("root").distinct()
+    first = polled.join(scanned, "root", "left_anti").join(dead, "root", "left_anti")
+    events = diff(old, full.join(scanned, "root", "left_semi"), ts).unionByName(baseline(full.join(scanned, "root", "left_anti"), ts, first))
     return events, full.unionByName(prev.join(dead, "root", "left_semi"))
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.paths import child_path, path_key, rewrite_prefix, within
-from ..functions.scalars import DATA_EXTEND, FILE_CREATE, FILE_DELETE, RENAME_NEW, RENAME_OLD, bits, is_directory, is_removal
+from ..functions.paths import ancestors, is_under, path_key, rewrite_prefix
+from ..functions.scalars import FILE_CREATE, FILE_DELETE, RENAME_NEW, RENAME_OLD, bits, is_removal
 from ..runtime import materialize
 
 _FIELDS = ("size", "mtime", "attrs")
@@ -84,20 +84,26 @@ def directory_action(known: str, parent: str, ignored: str, is_root: str = "is_r
 
 
 def removals_under(state: DataFrame, dirs: DataFrame) -> DataFrame:
-    """Synthetic 'R' ops for every state row within removed directories (root, dir, usn)."""
-    d = dirs.select(F.col("root").alias("_r"), "dir", "usn")
-    j = state.join(d, (F.col("root") == F.col("_r")) & within(F.col("path"), F.col("dir")))
-    return j.select("root", "path", "usn", F.lit("R").alias("op"), *(F.lit(None).cast("long" if c != "attrs" else "int").alias(c) for c in _FIELDS))
+    """Synthetic 'R' ops for every state row strictly below a removed directory (root, dir, usn).
+
+    An equi-join on each path's ancestors: dirs may be many.
+    """
+    d = dirs.select("root", F.upper("dir").alias("_a"), "usn").distinct()
+    below = state.where(F.instr("path", "\\") > 0).select("root", "path", F.explode(F.array_distinct(F.transform(ancestors(F.col("path")), F.upper))).alias("_a"))
+    none = (F.lit(None).cast("long" if c != "attrs" else "int").alias(c) for c in _FIELDS)
+    return below.join(d, ["root", "_a"]).select("root", "path", "usn", F.lit("R").alias("op"), *none)
 
 
-def rename_subtree(state: DataFrame, root: str, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-    """(events, state) of a directory rename: per file removed(old) and added(new) with the stored metadata.
+def rename_subtree(state: DataFrame, root: str | None, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """(events, state) of a directory rename: per file strictly below it removed(old) and added(new) with the stored metadata.
 
-    A rename that only changes case does nothing.
+    A rename that only changes case does nothing. root None means all rows of state.
     """
     if old.upper() == new.upper():
         return events_none(state), state
-    hit = (F.col("root") == root) & within(F.col("path"), F.lit(old))
+    hit = is_under(F.col("path"), F.lit(old))
+    if root is not None:
+        hit &= F.col("root") == root
     moved = state.where(hit)
     to = rewrite_prefix(F.col("path"), F.lit(old), F.lit(new))
     none = F.lit(None).cast("long")
@@ -108,8 +114,8 @@ def rename_subtree(state: DataFrame, root: str, old: str, new: str) -> tuple[Dat
     ev = moved.select("root", F.explode(out).alias("e")).select("root", "e.*")
     # moved rows overwrite rows that are already at their new place
     placed = moved.withColumn("path", to)
-    keep = state.where(~hit).withColumn("_k", path_key("path")).join(placed.select("root", path_key("path").alias("_k")), ["root", "_k"], "left_anti").drop("_k")
-    return ev, keep.unionByName(placed)
+    left = state.where(~hit).withColumn("_k", path_key("path")).join(placed.select("root", path_key("path").alias("_k")), ["root", "_k"], "left_anti").drop("_k")
+    return ev, left.unionByName(placed)
 
 
 def events_none(state: DataFrame) -> DataFrame:
@@ -139,5 +145,3 @@ def replay(ops: DataFrame, renames: list[tuple[str, str, str, int]], state: Data
         out = out.unionByName(p)
     return out, new_state(seg, state)
 
-
-__all__ = ["to_ops", "events", "new_state", "directory_action", "removals_under", "rename_subtree", "replay", "child_path", "is_directory", "DATA_EXTEND"]

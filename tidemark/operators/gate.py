@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Triggers, by cause.
+# Triggers, by cause; errors of the journal source.
 NO_STATE, NEW_JOURNAL, BEFORE_FIRST, OUT_OF_RANGE, SOURCE_ERROR = 1, 2, 3, 4, 5
+NO_FUNCTION, ACCESS_DENIED, DELETE_IN_PROGRESS, NOT_ACTIVE, ENTRY_DELETED = 1, 5, 1178, 1179, 1181
 
 
 def gate(cursor_next: Column, cursor_journal: Column, pending: Column, have_state: Column, journal: Column, first: Column, lowest: Column, next_usn: Column, source_ok: Column | None = None) -> Column:
-    """0 to go on, else the trigger of the resync that is due; the first rule that holds decides."""
-    out = F.when(cursor_next.isNull() | ~have_state, NO_STATE)
-    if source_ok is not None:
-        out = out.when(~source_ok, SOURCE_ERROR)
+    """0 to go on, else the trigger of the resync that is due; the first rule that holds decides.
+
+    A source that cannot be queried comes first, but a pending cause stays the cause.
+    """
+    open_ = F.coalesce(pending, F.lit(0))
+    failed = F.lit(False) if source_ok is None else ~source_ok
     return (
-        out.when(pending != 0, pending)
+        F.when(failed, F.when(open_ != 0, open_).otherwise(SOURCE_ERROR))
+        .when(cursor_next.isNull() | ~have_state, NO_STATE)
+        .when(open_ != 0, open_)
         .when(cursor_journal != journal, NEW_JOURNAL)
         .when(cursor_next < first, BEFORE_FIRST)
         .when((cursor_next < lowest) | (cursor_next > next_usn), OUT_OF_RANGE)
@@ -51,6 +56,25 @@ def advance(cursor: int, next_usn: int, n_bytes: int) -> tuple[int, bool]:
     return max(cursor, next_usn), True
 
 
+def on_error(code: int, reading: bool) -> tuple[str, int]:
+    """(what a root does, the trigger that is stored) after an error of its source: while it was read, or before.
+
+    degraded: poll until the source works again; resync: at the next tick; reopen: drop the handle and poll meanwhile;
+    unsupported: poll for good.
+    """
+    if code in (DELETE_IN_PROGRESS, NOT_ACTIVE):
+        return ("resync" if reading else "degraded"), SOURCE_ERROR
+    if code == ENTRY_DELETED and reading:
+        return "resync", BEFORE_FIRST
+    if code == NO_FUNCTION and not reading:
+        return "unsupported", 0
+    return "reopen", 0
+
+
+def clamp_tick(seconds: int) -> int:
+    return max(1, min(3600, seconds))
+
+
 def backoff(elapsed: float, interval: float) -> float:
     """Next poll delay: slow polls are spread so that they take a quarter of the time at most."""
     return max(interval, 4 * elapsed) if elapsed > interval / 4 else interval

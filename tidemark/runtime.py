@@ -52,8 +52,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+    at, fs = _file_system(spark, path)
+    fs.delete(at, True)
 
 
 def release(df: DataFrame) -> None:
@@ -65,6 +65,56 @@ def release(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is no such file."""
+    at, fs = _file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if it is there already."""
+    at, fs = _file_system(spark, path)
+    try:
+        fs.create(at, False).close()
+        return True
+    except Exception as e:  # py4j wraps what Hadoop throws
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside path and move it there in one step, so that readers see the old or the new one."""
+    jvm = spark._jvm
+    at, fs = _file_system(spark, path)
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(new)
+    out.write(bytearray(text.encode()))
+    out.hsync()
+    out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(at), how)
+
+
 @contextmanager
 def scratch() -> Iterator[list]:
     """Deletes at its end what was materialized within, apart from frames handed to keep()."""

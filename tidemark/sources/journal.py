@@ -1,4 +1,7 @@
-"""Journal buffers to record rows, and back for tests.
+"""Recorded journals: metadata, offset reads, buffers to record rows, and back for tests.
+
+A recorded journal is a folder of binary buffers (*.usn) and meta.json with its id
+and its first, lowest valid and next USN. A buffer starts with the next USN.
 
 A buffer is a run of length-prefixed records. The walk is sequential inside one
 buffer and independent between buffers, so buffers are decoded in Arrow batches.
@@ -6,14 +9,17 @@ buffer and independent between buffers, so buffers are decoded in Arrow batches.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import WATCHED, bits
+from ..operators.gate import ENTRY_DELETED, NOT_ACTIVE
+from ..runtime import read_text
 
 #: Header size, id bytes and the offset of the parent id, by major version.
 LAYOUT = {2: (60, 8, 16), 3: (76, 16, 24)}
@@ -75,3 +81,42 @@ def watched(records: DataFrame, since: int | None = None) -> DataFrame:
     """Records from an offset on that have a watched reason bit; the offset bound reaches the scan."""
     out = records if since is None else records.where(F.col("usn") >= since)
     return out.where(bits(F.col("reason"), WATCHED))
+
+
+class SourceError(RuntimeError):
+    """The journal cannot be read; code says why."""
+
+    def __init__(self, code: int, text: str):
+        super().__init__(f"{text} (error {code})")
+        self.code = code
+
+
+def journal_meta(spark: SparkSession, folder: str) -> dict:
+    """journal_id, first_usn, lowest_valid_usn and next_usn of a recorded journal; raises where there is none."""
+    text = read_text(spark, f"{folder}/meta.json")
+    if text is None:
+        raise SourceError(NOT_ACTIVE, f"no journal in {folder}")
+    return {k: int(v) for k, v in json.loads(text).items()}
+
+
+def _records(buffers: DataFrame) -> DataFrame:
+    body = buffers.select(F.expr("substring(content, 9)").alias("buffer"))
+    return decode(body)
+
+
+def read_range(spark: SparkSession, folder: str, since: int, journal_id: int) -> tuple[DataFrame, int]:
+    """(watched records from an offset on, the next offset); the journal has to be the one of the cursor and to reach back to it."""
+    meta = journal_meta(spark, folder)
+    if meta["journal_id"] != journal_id:
+        raise SourceError(NOT_ACTIVE, f"journal {journal_id:x} is gone")
+    if since < meta["first_usn"]:
+        raise SourceError(ENTRY_DELETED, f"records before {meta['first_usn']} are gone")
+    buffers = spark.read.format("binaryFile").option("pathGlobFilter", "*.usn").load(folder)
+    return watched(_records(buffers), since), max(since, meta["next_usn"])
+
+
+def stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of a recorded journal as a stream of its buffers, as they are added."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    buffers = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.usn").load(folder)
+    return watched(_records(buffers))
