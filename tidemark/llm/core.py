@@ -161,6 +161,10 @@ class Slice:
             self._ids["keys", lower] = a, b
         return self._ids["keys", lower]
 
+    def forget(self) -> None:
+        """Drop what was kept of the words' numbers and keys."""
+        self._ids.clear()
+
     def word_hash(self, lower: bool = False) -> np.ndarray:
         return self.word_keys(lower)[0]
 

@@ -39,7 +39,7 @@ from .core import SPACE, Slice, free_name, inside, map_arrow, partitions, runs,
 WINDOW = 35
 GRAM = 8
 #: Bytes of text in a reference block, about; a block is parsed in one task.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Anchors in an index bucket, about.
 BUCKET_ANCHORS = 1 << 20
 
@@ -131,6 +131,7 @@ def _based(texts: pa.Table) -> Iterator[tuple[int, Slice]]:
     for s in slices(texts.column("text")):
         yield base, s
         base += len(s.start)
+        s.forget()
 
 
 class Words:
@@ -311,6 +312,7 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, k: int = GRAM, id_c
             if len(at):
                 keys.append(window_keys(s, window)[at])
                 places.append(base + at)
+                s.forget()
         places = np.concatenate(places)
         a, b = equal_before(np.concatenate(keys))
         for f, r, n in zip(*(x.tolist() for x in factors(places[a], places[b], window)), strict=True):
