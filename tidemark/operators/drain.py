@@ -201,7 +201,7 @@ def drain(records: DataFrame, files: DataFrame, live_dirs: DataFrame, state: Dat
             names = dirmap.select("frn", "path", F.lit(-1).cast("long").alias("since")).unionByName(here)
             todo = materialize(file_ops(seg, names, files, rules), "ops")
             parts.append(fold.events(todo, state))
-            state = materialize(fold.new_state(todo, state), "state")
+            state = fold.new_state(todo, state)
             dirmap = names.select("frn", "path")
             made = []
             if op is not None:
