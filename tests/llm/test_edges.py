@@ -289,6 +289,8 @@ def test_decontamination_paths_agree(spark, monkeypatch, few):
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
     con.sql(f"create view benchmark as select * from '{SF}/benchmark.parquet'")
     assert got == sorted(con.sql(f"select doc_id, item_id, score, matched, item_words, start from ({oracles.OP5})").fetchall()) and got
+    kept = decontam.decontaminate(d, b)
+    assert kept.count() == d.count() - len({r[0] for r in got})
 
 
 @pytest.mark.parametrize("name", list(oracles.ORACLES))

@@ -110,8 +110,13 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, least: int = LEAST, id_col:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """docs without the rows that have an overlap, each row by itself: id_col may be null or repeated."""
+    """docs without the rows that have an overlap, each row by itself: id_col may be null or repeated.
+
+    Up to BROADCAST_LINES such rows are broadcast, and the texts are not shuffled; more are joined by shuffle.
+    """
     key = free_name(docs, "_row")
     keyed = with_row_key(docs, key)
-    found = find_overlaps(keyed, bench, id_col=key, **kw).select(F.col(key).alias("_bad")).distinct()
+    found = materialize(find_overlaps(keyed, bench, id_col=key, **kw).select(F.col(key).alias("_bad")).distinct(), "found")
+    if found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        found = F.broadcast(found)
     return keyed.join(found, keyed[key] == found["_bad"], "left_anti").drop(key)
