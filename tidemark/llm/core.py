@@ -11,6 +11,8 @@ only one slice is looked at, words and lines are told apart by their bytes.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
@@ -273,6 +275,15 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return to the system what a fit has freed: the driver's Python shares its memory limit with the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Bytes of a text that may be in a labelled sample, and of all its texts, at most.
 SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 1 << 20, 64 << 20
 

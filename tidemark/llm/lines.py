@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .core import Slice, dictionary, inside, labelled_sample, map_arrow, slices
+from .core import Slice, dictionary, give_back, inside, labelled_sample, map_arrow, slices
 
 #: Rows of the labelled sample that a model is fitted on, at most.
 SAMPLE_ROWS = 3000
@@ -257,4 +257,6 @@ def label_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def fit_lines(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, folds: int = 5, held: int = 0, **kw) -> Model:
-    return fit(labelled_sample(docs, labels, "quality", folds, held, bound), **kw)
+    model = fit(labelled_sample(docs, labels, "quality", folds, held, bound), **kw)
+    give_back()
+    return model

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .core import Slice, labelled_sample, map_arrow, mix, slices
+from .core import Slice, give_back, labelled_sample, map_arrow, mix, slices
 
 #: Rows of the labelled sample that a model is fitted on, at most.
 SAMPLE_ROWS = 8000
@@ -136,4 +136,6 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, folds: int = 5, held: int = 0, **kw) -> Model:
-    return fit(labelled_sample(docs, labels, "quality", folds, held, bound), **kw)
+    model = fit(labelled_sample(docs, labels, "quality", folds, held, bound), **kw)
+    give_back()
+    return model

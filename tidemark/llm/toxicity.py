@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .core import Slice, labelled_sample, map_arrow, slices
+from .core import Slice, give_back, labelled_sample, map_arrow, slices
 
 #: Rows of the labelled sample that a model is fitted on, at most.
 SAMPLE_ROWS = 5000
@@ -274,4 +274,6 @@ def filter_toxic(docs: DataFrame, model: Model, at: float, text_col: str = "text
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, folds: int = 3, held: int = 1, **kw) -> Model:
-    return fit(labelled_sample(docs, labels, "toxic", folds, held, bound), **kw)
+    model = fit(labelled_sample(docs, labels, "toxic", folds, held, bound), **kw)
+    give_back()
+    return model
