@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,54 @@ def test_drain_is_the_sequential_fold(spark, seed, most):
     assert len(seq.log) > 8 and not got.displaced
 
 
+def test_many_directory_operations_are_folded_at_once(spark, monkeypatch):
+    state, names, live, dirs, _ = inputs(6)
+    rnd, seq, recs = random.Random(6), Sequential(state, names, live, dirs), []
+    for usn in range(1, 201):
+        name, parent = rnd.choice(["e", "b", "a", "E", "q", ".i"]), rnd.choice(["0", "0", "1", "3", "5", "zz"])
+        if rnd.random() < 0.5:
+            rec = (usn, rnd.choice("1234567"), parent, rnd.choice([S.FILE_CREATE, S.FILE_DELETE, S.RENAME_NEW, S.RENAME_NEW]), True, name)
+        else:
+            rec = (usn, f"x{usn}", rnd.choice("01234567"), rnd.choice([S.FILE_CREATE, S.FILE_DELETE, S.DATA_EXTEND]), False, rnd.choice(["f", "g", "F"]))
+        renames = rec[4] and rec[3] & S.RENAME_NEW and rec[1] in seq.names and parent in seq.names and not name.startswith(".")
+        if not renames:
+            recs.append(rec)
+            assert seq.record(*rec)
+    stored, keep = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, tag: (stored.append(tag), keep(df, tag))[1])
+    got = R.drain(*frames(spark, state, names, live, dirs, recs), RULES)
+    up = lambda x: sorted((u, k, p.upper(), n or 0, o or 0) for u, k, p, n, o in x)
+    assert up((r.usn, r.type, r.path, r.size, r.prev_size) for r in got.events.collect()) == up(seq.log)
+    assert {r.path.upper(): r.size for r in got.state.collect()} == {k: v for k, (_, v) in seq.state.items()}
+    assert {r.frn: r.path.upper() for r in got.dirmap.collect()} == {f: p.upper() for f, p in seq.names.items()}
+    # no directory operation but a rename stores a state
+    assert stored == ["records", "ops", "steps"] and len({u for u, k, *_ in seq.log if k == "removed"}) > 5
+
+
+def test_directories_keep_the_stored_spelling(spark):
+    rec = lambda usn, reason: (usn, "9", "0", reason, True, "e")
+    args = frames(spark, {"E\\F": 1}, {"0": ""}, {"e\\f": 2, "e\\g": 3}, {"9": "e"}, [rec(1, S.RENAME_NEW), rec(2, S.FILE_DELETE)])
+    came = R.drain(args[0].where("usn = 1"), *args[1:])
+    assert {(r.path, r.size) for r in came.state.collect()} == {("E\\F", 2), ("e\\g", 3)}
+    both = R.drain(*args)
+    assert {(r.usn, r.type, r.path, r.prev_size) for r in both.events.collect()} == {(1, "added", "e\\g", None), (2, "removed", "E\\F", 2), (2, "removed", "e\\g", 3)}
+    assert both.state.count() == 0 and [r.path for r in both.dirmap.collect()] == [""]
+
+
+def test_directory_plans_are_quick():
+    """20,000 renames and removals among 20,000 directories: time grows with the paths that change."""
+    class Row:
+        def __init__(self, usn, frn, reason, name):
+            self.usn, self.frn, self.parent_frn, self.reason, self.name = usn, frn, "0", reason, name
+
+    paths = {"0": ""} | {str(i): f"d{i}" for i in range(1, 20_001)}
+    rows = [Row(i, str(i), S.RENAME_NEW if i % 2 else S.FILE_DELETE, f"n{i}") for i in range(1, 20_001)]
+    started = time.process_time()
+    ops, displaced = R.plan_directories(rows, paths, {}, RULES)
+    assert not displaced and [o.kind for o in ops[:2]] == ["rename", "remove"] and len(ops) == 20_000
+    assert time.process_time() - started < 10
+
+
 def test_drain_edges(spark):
     state, names, live, dirs, recs = inputs(5)
     args = frames(spark, state, names, live, dirs, recs)

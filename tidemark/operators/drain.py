@@ -6,9 +6,11 @@ path, and the fold is a window over each path. Directory records are few. What
 each of them does follows from the paths of the directories that the batch's
 directory records themselves name, so these are fetched, at most MAX_DIR_RECORDS
 records at a time, and decided in order on the driver; a batch with more is
-drained in ranges of USN, one after the other, with the same result. Only
-directory operations that touch files (rename, move, delete) cut the batch; the
-rows below a directory are found by equi-joins on ancestors or one prefix.
+drained in ranges of USN, one after the other, with the same result. New, moved
+in, removed and ignored directories become versions of the map, and one op for
+each file strictly below them, so any number of them is folded together with the
+file records. Only renames of mapped directories, which move state from key to
+key, cut the batch. Rows below directories are found by equi-joins on ancestors.
 
 records: root, usn, frn, parent_frn, reason, attrs, name. files: the live files
 (root, path, size, mtime, attrs). live_dirs: the live directories (frn, path).
@@ -25,10 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.paths import IgnoreRules, child_path, is_under, path_key, within
+from ..functions.paths import SEP, IgnoreRules, ancestors, child_path, is_under, path_key
 from ..functions.scalars import FILE_CREATE, FILE_DELETE, RENAME_NEW, RENAME_OLD, is_directory
 from ..runtime import materialize
 from ..sources.journal import watched
@@ -59,29 +62,52 @@ class Drained:
     displaced: bool = False
 
 
-def _below(path: str, prefix: str) -> bool:
-    return len(path) > len(prefix) + 1 and path.upper().startswith(prefix.upper() + "\\")
+class Paths:
+    """Paths by id, and the ids at or below each path, whatever its case."""
 
+    def __init__(self, paths: dict[str, str]):
+        self.of: dict[str, str] = {}
+        self.under: dict[str, set[str]] = {}
+        for frn, path in paths.items():
+            self.put(frn, path)
 
-def _in(path: str, prefix: str) -> bool:
-    return path.upper() == prefix.upper() or _below(path, prefix)
+    @staticmethod
+    def _keys(path: str) -> Iterable[str]:
+        parts = path.upper().split(SEP)
+        return (SEP.join(parts[:i]) for i in range(1, len(parts) + 1))
+
+    def put(self, frn: str, path: str) -> None:
+        self.drop(frn)
+        self.of[frn] = path
+        for k in self._keys(path):
+            self.under.setdefault(k, set()).add(frn)
+
+    def drop(self, frn: str) -> None:
+        if frn in self.of:
+            for k in self._keys(self.of.pop(frn)):
+                self.under[k].discard(frn)
+
+    def within(self, path: str) -> list[str]:
+        return list(self.under.get(path.upper(), ()))
 
 
 def plan_directories(rows: Iterable, paths: dict[str, str], live: dict[str, str], rules: IgnoreRules) -> tuple[list[DirOp], bool]:
     """What directory records (usn, frn, parent_frn, reason, name, in order) do, and whether the root was displaced.
 
-    paths: the mapped paths of the ids that the records name; it is brought up to date. live: their live paths.
+    paths: the mapped paths of the ids that the records name. live: their live paths. A record takes time
+    in proportion to the ids whose paths it changes.
     """
     out: list[DirOp] = []
+    mapped, alive = Paths(paths), Paths(live)
     ignored = lambda name: any(name.upper().startswith(p.upper()) for p in rules.dirs)
 
-    def forget(prefix: str, frn: str) -> None:
-        for f in [f for f, p in paths.items() if f == frn or _in(p, prefix)]:
-            del paths[f]
+    def forget(path: str, frn: str) -> None:
+        for f in [*mapped.within(path), frn]:
+            mapped.drop(f)
 
     for r in rows:
-        old, parent = paths.get(r.frn), paths.get(r.parent_frn)
-        here = None if parent is None else r.name if parent == "" else f"{parent}\\{r.name}"
+        old, parent = mapped.of.get(r.frn), mapped.of.get(r.parent_frn)
+        here = None if parent is None else r.name if parent == "" else f"{parent}{SEP}{r.name}"
         has = lambda mask: bool(r.reason & mask)  # noqa: B023, E731
         if old == "" and has(FILE_DELETE | RENAME_OLD | RENAME_NEW):
             return [], True
@@ -96,27 +122,65 @@ def plan_directories(rows: Iterable, paths: dict[str, str], live: dict[str, str]
         elif has(RENAME_NEW):
             if old is None:
                 out.append(DirOp("move_in", r.usn, r.frn, None, here))
-                paths |= {f: p for f, p in live.items() if _below(p, here)} | {r.frn: here}
+                for f in alive.within(here):
+                    if alive.of[f].upper() != here.upper():
+                        mapped.put(f, alive.of[f])
+                mapped.put(r.frn, here)
             elif here.upper() != old.upper():
                 out.append(DirOp("rename", r.usn, r.frn, old, here))
-                for f, p in paths.items():
-                    if _in(p, old):
-                        paths[f] = here + p[len(old) :]
+                for f in mapped.within(old):
+                    mapped.put(f, here + mapped.of[f][len(old) :])
         elif has(FILE_CREATE) and here is not None and old is None:
             out.append(DirOp("map", r.usn, r.frn, None, here))
-            paths[r.frn] = here
+            mapped.put(r.frn, here)
     return out, False
 
 
+def _frame(spark: SparkSession, ops: list[DirOp], *kinds: str) -> DataFrame:
+    """Operations of some kinds as rows; at most MAX_DIR_RECORDS, so Spark may broadcast them."""
+    return spark.createDataFrame([(o.usn, o.frn, o.old, o.new) for o in ops if o.kind in kinds], "at long, self string, old string, new string")
+
+
+def _below(rows: DataFrame, dirs: DataFrame) -> DataFrame:
+    """rows (path, ...) once for each of dirs (_a: upper-case path, ...) that they are strictly below."""
+    up = F.array_distinct(F.transform(ancestors(F.col("path")), F.upper))
+    return rows.where(F.instr("path", SEP) > 0).withColumn("_a", F.explode(up)).join(dirs, "_a").drop("_a")
+
+
+def map_versions(dirmap: DataFrame, ops: list[DirOp], live_dirs: DataFrame) -> DataFrame:
+    """(frn, path, since, until): where a directory was from one operation on, up to another; until is null for what stays.
+
+    Rows of dirmap are there from the start. A directory ends with the first removal of it or of one above it, or
+    where it starts again. ops has no renames.
+    """
+    spark = dirmap.sparkSession
+    rows = dirmap.select("frn", "path", F.lit(-1).cast("long").alias("since"))
+    if not ops:
+        return rows.withColumn("until", F.lit(None).cast("long"))
+    rows = rows.unionByName(_frame(spark, ops, "map", "move_in").select(F.col("self").alias("frn"), F.col("new").alias("path"), F.col("at").alias("since")))
+    if any(o.kind == "move_in" for o in ops):
+        came = _frame(spark, ops, "move_in").select(F.upper("new").alias("_a"), "at", "self")
+        rows = rows.unionByName(_below(live_dirs.select("frn", "path"), came).where("frn <> self").select("frn", "path", F.col("at").alias("since")))
+    again = F.lead("since").over(W.partitionBy("frn").orderBy("since"))
+    rows = rows.withColumn("_again", again)
+    # a path never begins with a separator, so an id behind one is no path
+    itself = lambda c: F.concat(F.lit(SEP), c)
+    ends = _frame(spark, ops, "unmap", "remove").select("at", F.explode(F.array(F.upper("old"), itself(F.col("self")))).alias("_a"))
+    keys = F.array_distinct(F.concat(F.array(F.upper("path"), itself(F.col("frn"))), F.transform(ancestors(F.col("path")), F.upper)))
+    gone = rows.select("frn", "since", F.explode(keys).alias("_a")).join(ends, "_a").where("at > since").groupBy("frn", "since").agg(F.min("at").alias("_gone"))
+    return rows.join(gone, ["frn", "since"], "left").select("frn", "path", "since", F.least("_again", "_gone").alias("until"))
+
+
 def file_ops(records: DataFrame, dirmap: DataFrame, files: DataFrame, rules: IgnoreRules) -> DataFrame:
     """File records to ops (root, path, usn, op, size, mtime, attrs).
 
-    dirmap may have `since`, the USN from which a directory was mapped. A removal does not look at the live file.
+    dirmap may be versions of a map: a record takes the one of its USN. A removal does not look at the live file.
     """
-    d = dirmap.select(F.col("frn").alias("parent_frn"), F.col("path").alias("_parent"), *(["since"] if "since" in dirmap.columns else []))
+    dated = "since" in dirmap.columns
+    d = dirmap.select(F.col("frn").alias("parent_frn"), F.col("path").alias("_parent"), *(["since", "until"] if dated else []))
     r = records.where(~is_directory(F.col("attrs")) & ~rules.file_name(F.col("name"))).join(d, "parent_frn")
-    if "since" in dirmap.columns:
-        r = r.where("usn > since")
+    if dated:
+        r = r.where("usn >= since and (until is null or usn < until)")
     r = r.select("root", "usn", "reason", child_path(F.col("_parent"), F.col("name")).alias("path"))
     stat = files.select("root", path_key("path").alias("_k"), "size", "mtime", "attrs")
     r = r.withColumn("_k", path_key("path")).join(stat, ["root", "_k"], "left")
@@ -146,21 +210,22 @@ def remove_under(state: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     return events, state.where(~below)
 
 
-def apply_directory(op: DirOp, state: DataFrame, dirmap: DataFrame, files: DataFrame, live_dirs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, state, dirmap) after one directory operation."""
-    spark, none = state.sparkSession, fold.events_none(state)
-    gone = lambda: dirmap.where(~within(F.col("path"), F.lit(op.old)) & (F.col("frn") != op.frn))
-    if op.kind == "unmap":
-        return none, state, gone()
-    if op.kind == "remove":
-        return *remove_under(state, op.old), gone()
-    if op.kind == "rename":
-        return *fold.rename_subtree(state, None, op.old, op.new), M.remap_subtree(dirmap, op.old, op.new)
-    here = spark.createDataFrame([(op.frn, op.new)], "frn string, path string")
-    if op.kind == "map":
-        return none, state, dirmap.where(F.col("frn") != op.frn).unionByName(here)
-    new = live_dirs.where(is_under(F.col("path"), F.lit(op.new)) & (F.col("frn") != op.frn)).select("frn", "path").unionByName(here)
-    return *move_in(state, files, op.new), dirmap.join(new.select("frn"), "frn", "left_anti").unionByName(new)
+def directory_ops(ops: list[DirOp], todo: DataFrame, state: DataFrame, files: DataFrame) -> DataFrame:
+    """Ops for each file strictly below a directory that came ('M', live files) or went ('D', files of state, of todo or that came)."""
+    spark, cols = state.sparkSession, ["root", "path", "usn", "op", "size", "mtime", "attrs"]
+    out = None
+    known = state.select("root", "path").unionByName(todo.select("root", "path"))
+    if any(o.kind == "move_in" for o in ops):
+        came = _frame(spark, ops, "move_in").select(F.upper("new").alias("_a"), F.col("at").alias("usn"))
+        out = _below(files.select("root", "path", "size", "mtime", "attrs"), came).withColumn("op", F.lit("M")).select(*cols)
+        known = known.unionByName(out.select("root", "path"))
+    if any(o.kind == "remove" for o in ops):
+        went = _frame(spark, ops, "remove").select(F.upper("old").alias("_a"), F.col("at").alias("usn"))
+        none = (F.lit(None).cast("long" if c != "attrs" else "int").alias(c) for c in cols[4:])
+        below = _below(known, went).groupBy("root", path_key("path").alias("_k"), "usn").agg(F.min("path").alias("path"))
+        lost = below.select("root", "path", "usn", F.lit("D").alias("op"), *none)
+        out = lost if out is None else out.unionByName(lost)
+    return out
 
 
 def drain(records: DataFrame, files: DataFrame, live_dirs: DataFrame, state: DataFrame, dirmap: DataFrame, rules: IgnoreRules | None = None, most: int = MAX_DIR_RECORDS) -> Drained:
@@ -186,10 +251,10 @@ def drain(records: DataFrame, files: DataFrame, live_dirs: DataFrame, state: Dat
         if displaced:
             before.displaced = True
             return before
-        made: list[tuple[str, str, int]] = []
+        run: list[DirOp] = []
         for op in [*ops, None]:
-            if op is not None and op.kind == "map":
-                made.append((op.frn, op.new, op.usn))
+            if op is not None and op.kind != "rename":
+                run.append(op)
                 continue
             end = op.usn if op is not None else high
             seg = recs
@@ -197,18 +262,23 @@ def drain(records: DataFrame, files: DataFrame, live_dirs: DataFrame, state: Dat
                 seg = seg.where(F.col("usn") >= low)
             if end is not None:
                 seg = seg.where(F.col("usn") < end)
-            here = spark.createDataFrame(made, "frn string, path string, since long")
-            names = dirmap.select("frn", "path", F.lit(-1).cast("long").alias("since")).unionByName(here)
-            todo = materialize(file_ops(seg, names, files, rules), "ops")
-            parts.append(fold.events(todo, state))
-            state = fold.new_state(todo, state)
-            dirmap = names.select("frn", "path")
-            made = []
+            names = map_versions(dirmap, run, live_dirs)
+            todo = file_ops(seg, names, files, rules)
+            if any(o.kind in ("remove", "move_in") for o in run):
+                todo = materialize(todo, "ops")
+                todo = todo.unionByName(directory_ops(run, todo, state, files))
+            done = materialize(fold.steps(todo, state), "steps")
+            parts.append(fold.steps_events(done))
+            state = fold.steps_state(done, state)
+            dirmap = names.where("until is null").select("frn", "path")
+            run = []
             if op is not None:
-                events, state, dirmap = apply_directory(op, state, dirmap, files, live_dirs)
+                events, state = fold.rename_subtree(state, None, op.old, op.new)
                 parts.append(events.withColumn("usn", F.lit(op.usn).cast("long")).select(*parts[0].columns))
-                state, dirmap = materialize(state, "state"), materialize(dirmap, "dirmap")
+                dirmap = M.remap_subtree(dirmap, op.old, op.new)
                 low = op.usn
+            if op is not None or high is not None:
+                state, dirmap = materialize(state, "state"), materialize(dirmap, "dirmap")
         if high is None:
             break
         low = high

@@ -5,8 +5,10 @@ file state otherwise, so the state before it is a lag and no sequential code is
 needed. Only a directory rename moves state between keys; a batch with such
 records is cut at them and the parts are folded one after the other.
 
-ops: root, path, usn, op ('R' removal, 'S' stat, 'M' moved in), size, mtime,
-attrs (null where no file exists). state: root, path, size, mtime, attrs.
+ops: root, path, usn, op ('R' removal, 'S' stat, 'M' moved in with its directory,
+'D' removed with its directory), size, mtime, attrs (null where no file exists).
+'M' and 'D' keep the stored spelling of a path, and come before a file's own
+record of the same USN. state: root, path, size, mtime, attrs.
 """
 
 from __future__ import annotations
@@ -65,6 +67,45 @@ def new_state(ops: DataFrame, state: DataFrame) -> DataFrame:
     return rest.unionByName(last.where("_l.live").select("root", "_l.path", *(f"_l.{c}" for c in _FIELDS)))
 
 
+def steps(ops: DataFrame, state: DataFrame) -> DataFrame:
+    """Each op with its event, if it has one, and the file that is there after it: what steps_events and steps_state read.
+
+    Both read all of it, so it should be stored.
+    """
+    s = state.select("root", path_key("path").alias("_k"), F.struct("path", *_FIELDS).alias("_old"))
+    lost = F.col("op").isin("R", "D") | F.col("size").isNull()
+    post = F.struct(*(F.col(c).cast("long" if c != "attrs" else "int").alias(c) for c in _FIELDS))
+    w = W.partitionBy("root", "_k").orderBy("usn", "_own")
+    o = ops.withColumn("_k", path_key("path")).withColumn("_own", F.col("op").isin("R", "S")).withColumn("_post", F.when(~lost, post))
+    j = o.join(s, ["root", "_k"], "left").withColumn("_lag", F.lag(F.struct("_post")).over(w))
+    stored = F.when(F.col("_old").isNotNull(), F.struct(*(F.col(f"_old.{c}").cast("long" if c != "attrs" else "int").alias(c) for c in _FIELDS)))
+    j = j.withColumn("_pre", F.when(F.col("_lag").isNull(), stored).otherwise(F.col("_lag._post")))
+    names = F.when(F.col("_post").isNotNull() & ((F.col("op") != "M") | F.col("_pre").isNull()), F.col("path"))
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    j = j.withColumn("_names", names).withColumn("_as", F.coalesce(F.last("_names", ignorenulls=True).over(before), "_old.path"))
+    pre, post = F.col("_pre"), F.col("_post")
+    kind = (
+        F.when(post.isNull() & pre.isNotNull(), "removed")
+        .when(post.isNotNull() & pre.isNull(), "added")
+        .when(post.isNotNull() & ~post.eqNullSafe(pre) & (F.col("op") != "M"), "modified")
+    )
+    name = F.when(F.col("_own") | pre.isNull(), F.col("path")).otherwise(F.col("_as"))
+    return j.select(
+        "root", "_k", "usn", "_own", kind.alias("type"), name.alias("path"), F.col("_post").alias("now"), F.col("_pre.size").alias("prev_size"), F.col("_pre.mtime").alias("prev_mtime")
+    )
+
+
+def steps_events(done: DataFrame) -> DataFrame:
+    return done.where("type is not null").select("root", "usn", "type", "path", F.col("now.size").alias("size"), F.col("now.mtime").alias("mtime"), "prev_size", "prev_mtime")
+
+
+def steps_state(done: DataFrame, state: DataFrame) -> DataFrame:
+    """state after the steps: untouched rows and what the last step of each key left."""
+    last = done.groupBy("root", "_k").agg(F.max_by(F.struct("path", "now"), F.struct("usn", "_own")).alias("_l"))
+    rest = state.withColumn("_k", path_key("path")).join(last.select("root", "_k"), ["root", "_k"], "left_anti").select("root", "path", *_FIELDS)
+    return rest.unionByName(last.where("_l.now is not null").select("root", "_l.path", *(f"_l.now.{c}" for c in _FIELDS)))
+
+
 def directory_action(known: str, parent: str, ignored: str, is_root: str = "is_root"):
     """What a directory record does, in the order in which the rules apply.
 
