@@ -549,6 +549,64 @@ def test_neardup_at_five_words(spark):
     assert [got[len(rows) - 8 + i][1] == len(rows) - 8 + i - i % 2 for i in (1, 3, 5, 7)] == [True, False, True, False]
 
 
+def shuffled(spark, job):
+    """Bytes that job's stages wrote to shuffles, and what it returns."""
+    sc = spark.sparkContext
+    store, bus = sc._jsc.sc().statusStore(), sc._jsc.sc().listenerBus()
+
+    def total():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    out = job()
+    return total() - before, out
+
+
+def test_neardup_leaves_texts_in_place(spark, tmp_path, monkeypatch):
+    """Neither the texts whose sets are wanted nor the rows that stay are shuffled, unless the marks are too many; results agree."""
+    rnd = np.random.default_rng(8)
+    rows = [" ".join(f"w{x}" for x in rnd.integers(1 << 40, size=3000)) for _ in range(100)]
+    ids = [*range(100), 5, 200, None, 201, None]
+    rows += [rows[5], rows[3] + " end", "start " + rows[4], None, ""]
+    path = f"{tmp_path}/documents"
+    spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string").repartition(3).write.parquet(path)
+
+    def drop():
+        with core.scratch():
+            return sorted(((r.doc_id is None, r.doc_id, r.text or "") for r in neardup.drop_near_duplicates(spark.read.parquet(path)).collect()), key=repr)
+
+    size = sum(len(t or "") for t in rows)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved, got = shuffled(spark, drop)
+        monkeypatch.setattr(core, "MARKS_BYTES", 0, raising=False)
+        more, same = shuffled(spark, drop)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    want = [(ids[i] is None, ids[i], rows[i] or "") for i in range(len(rows)) if i not in (100, 101, 102)]
+    assert got == same == sorted(want, key=repr)
+    assert moved < size / 2 < size < more, (moved, size, more)
+
+
+def test_marks_of_any_key(spark, monkeypatch):
+    """Sifted rows have all that are wanted and hardly others; rows without some are exactly the rest."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 1000 != 7, F.concat(F.lit("k"), F.col("id"))).alias("name"), (F.shiftleft(F.col("id") % 3, 40) + F.col("id")).alias("row"))
+    few = rows.where("row % 7 = 0 and name is not null").select("name")
+    gone = rows.where("row % 5 < 2").select(F.col("row").alias("_k"))
+    want, rest = {r.name for r in few.collect()}, sorted(r.row for r in rows.where("row % 5 >= 2").collect())
+    for bound in (core.MARKS_BYTES, 0):
+        monkeypatch.setattr(core, "MARKS_BYTES", bound)
+        with core.scratch():
+            got = [r.name for r in core.sift(rows, "name", few).collect()]
+            assert len(set(got)) == len(got) and want <= set(got) and None not in got and len(got) - len(want) <= (60 if bound else 0)
+            assert sorted(r.row for r in core.without(rows, "row", gone).select("row").collect()) == rest
+            none = few.where("false")
+            assert core.sift(rows, "name", none).count() == 0 and core.without(rows, "row", gone.where("false")).count() == 20_000
+
+
 def test_neardup_leaves_nothing_behind(spark):
     import os
 

@@ -19,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import keep, materialize, release, scratch, table
@@ -66,6 +66,39 @@ def free_name(df: DataFrame, name: str) -> str:
     return next(x for x in (name, *(f"{name}{i}" for i in range(len(taken) + 1))) if x.lower() not in taken)
 
 
+#: Bytes of marks that may be broadcast, about: two a mark, BLOCK_BYTES for each block that has any.
+MARKS_BYTES, BLOCK_BYTES = 32 << 20, 128
+
+
+def _by_marks(rows: DataFrame, marks: DataFrame, block: Column, place: Column, how: str) -> DataFrame | None:
+    """rows joined (left_semi or left_anti) with marks (block, place), which are broadcast as one array of places a block.
+
+    Rows stay where they are. None where the marks are too many to broadcast.
+    """
+    b, at = free_name(rows, "_block"), free_name(rows, "_places")
+    packed = materialize(marks.groupBy(F.col("block").alias(b)).agg(F.collect_list("place").alias(at)), "marks")
+    if (packed.agg(F.sum(2 * F.size(at) + BLOCK_BYTES)).first()[0] or 0) > MARKS_BYTES:
+        release(packed)
+        return None
+    return rows.join(F.broadcast(packed), (block == F.col(b)) & F.array_contains(at, place), how)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """rows without those whose number from with_row_key gone (_k) has; shuffled only where these are too many to broadcast."""
+    block, place = lambda c: F.shiftright(c, 10), lambda c: F.col(c).bitwiseAND(F.lit(1023)).cast("short")
+    out = _by_marks(rows, gone.select(block("_k").alias("block"), place("_k").alias("place")), block(key), place(key), "left_anti")
+    return rows.join(gone, rows[key] == gone["_k"], "left_anti") if out is None else out
+
+
+def sift(rows: DataFrame, col: str, few: DataFrame) -> DataFrame:
+    """rows whose col few has, and about one in a thousand of the others; shuffled, and without others, only where few is too large to broadcast."""
+    blocks = few.count() // 64 + 1
+    h = F.xxhash64(col)
+    block, place = F.pmod(h, F.lit(blocks)), F.shiftright(h, 48).cast("short")
+    out = _by_marks(rows.where(F.col(col).isNotNull()), few.select(block.alias("block"), place.alias("place")), block, place, "left_semi")
+    return rows.join(few, col, "left_semi") if out is None else out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import Slice, free_name, keep, map_arrow, materialize, mix, scratch, slices, windows, with_row_key
+from .core import Slice, free_name, keep, map_arrow, materialize, mix, scratch, sift, slices, windows, with_row_key, without
 
 SHINGLE = 5
 #: Similarity threshold in hundredths, so that it is compared exactly.
@@ -308,8 +308,8 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     bands = band_keys(sets)
     groups = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("m")).where("low < high")
     shared = materialize(bands.join(groups.select("band", "m"), "band"), "shared")
-    # full sets of every node that shares a band with another; a doc_id with several rows has several
-    some = shared.select("node").distinct()
+    # full sets of every node that shares a band with another, of few others; a doc_id with several rows has several
+    some = materialize(shared.select("node").distinct(), "some")
 
     def full(b: pa.RecordBatch):
         for s in slices(b.column(1)):
@@ -317,7 +317,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
             blobs = [x[a:z].tobytes() for a, z in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.record_batch([b.column(0).slice(s.lo, s.n), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(some, "node", "left_semi")
+    texts = sift(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")), "node", some)
     shingles = materialize(map_arrow(texts, full, f"node {kind}, shingles binary"), "shingles")
 
     copies = known.join(sets.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
@@ -356,4 +356,4 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCE
     named = members.join(keyed.select(F.col(key).alias("_k"), id_col), "_k")
     best = named.groupBy("_c").agg(F.min(order).alias("_b")).select(F.col("_b.k").alias("_k"))
     gone = members.select("_k").join(best, "_k", "left_anti")
-    return keyed.join(gone, keyed[key] == gone["_k"], "left_anti").drop(key)
+    return without(keyed, key, materialize(gone, "gone")).drop(key)
